@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from readloom.functions.sequence import normal_sequence
 from readloom.llm.frequent import frequent_values
+from readloom.llm.languages import document_languages, label_language, language_segments
+from readloom.llm.leaks import near_passages, shared_passages
+from readloom.llm.mixing import mix_sources
 from readloom.llm.near_duplicates import near_duplicates
 from readloom.llm.percentiles import base_quality_pieces, radix_percentiles, radix_select
 from readloom.llm.shared_spans import shared_by_record
@@ -62,8 +65,51 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_by_record(reads, "ordinal", normal_sequence(F.col("sequence")), forward, 0.5).select(F.col("key").alias("ordinal"))
 
 
+def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_passages(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _passages(spark, sf_dir).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _passages(spark, sf_dir).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "longest", "words", "coverage")
+
+
+def p6_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = near_passages(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
+    return near.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "words", "coverage")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mix_sources(table(spark, sf_dir, "documents"), "doc_id", "text", "source", table(spark, sf_dir, "mix_targets"), soft=False)
+    return mix.report.where("NOT reachable").select("source")
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"), "doc_id", "text", "source", table(spark, sf_dir, "mix_targets")).report
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mix_sources(table(spark, sf_dir, "documents"), "doc_id", "text", "source", table(spark, sf_dir, "mix_targets"))
+    return mix.documents.withColumnRenamed("key", "doc_id")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    langs = document_languages(language_segments(docs, "doc_id", "text", "lang")).where("words >= 20")
+    labels = docs.select(F.col("doc_id").alias("key"), label_language(F.col("lang")).alias("label"))
+    named = langs.join(labels, "key").where(~F.col("lang").eqNullSafe(F.col("label")))
+    return named.select(F.col("key").alias("doc_id"), "lang")
+
+
+def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_segments(table(spark, sf_dir, "documents"), "doc_id", "text", "lang").withColumnRenamed("key", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_top, p2_found, p4_found, p4_percentiles, p4_prices, p5_found)
+    f.__name__: f for f in (p1_found, p1_top, p2_found, p4_found, p4_percentiles, p4_prices, p5_found, p6_found, p6_passages, p6_near, p7_found, p7_report, p7_mix, p8_found, p8_segments)
 }
 
 _READS = "SELECT ordinal, upper(translate(any_value(sequence), 'uU.', 'tTN')) AS s FROM fastq_reads WHERE sequence IS NOT NULL GROUP BY ordinal"
