@@ -1,4 +1,41 @@
 """Queries of the engine's own operators over the test tables, and their SQL."""
 
-QUERIES = {}
-SQL = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from readloom.operators.malformed import parse_records
+from readloom.session import table
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_records(table(spark, sf_dir, "raw_records"), "raw_id").where("reason IS NOT NULL").select("raw_id", "reason")
+
+
+def p3_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_records(table(spark, sf_dir, "raw_records"), "raw_id").where("reason IS NULL").select("raw_id", "read.*")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_loaded)}
+
+_FIELD = r'("(?:[^"]|"")*"|[^",\r\n]*)'
+_RECORDS = rf"""
+ t AS (SELECT *, payload IS NULL OR trim(payload, chr(32) || chr(9) || chr(10) || chr(13)) = '' AS blank, regexp_replace(payload, '\r?\n$', '') AS body FROM raw_records),
+ l AS (SELECT *, CASE WHEN layout = 'fastq' THEN regexp_split_to_array(body, '\r?\n') END AS lines,
+         CASE WHEN layout = 'csv' AND NOT blank THEN regexp_full_match(payload, '{_FIELD}(,{_FIELD})*') END AS quoted,
+         CASE WHEN layout = 'csv' AND NOT blank THEN regexp_full_match(payload, '{_FIELD},{_FIELD},{_FIELD},{_FIELD}') END AS four FROM t),
+ e AS (SELECT *, regexp_extract(payload, '{_FIELD},{_FIELD},{_FIELD},{_FIELD}', ['a', 'b', 'c', 'd']) AS x FROM l),
+ f AS (SELECT *, CASE WHEN layout = 'fastq' THEN lines[1:4] WHEN four THEN
+         list_transform([x.a, x.b, x.c, x.d], lambda y: CASE WHEN y LIKE '"%' THEN replace(y[2:-2], '""', '"') ELSE y END) END AS v FROM e),
+ r AS (SELECT raw_id, layout, v, CASE WHEN blank THEN 'empty' WHEN NOT quoted THEN 'quoting' WHEN NOT four OR len(lines) <> 4 THEN 'field_count'
+         WHEN layout = 'csv' AND v[1] = '' OR layout = 'fastq' AND (v[1] NOT LIKE '@%' OR length(v[1]) < 2) THEN 'name'
+         WHEN layout = 'fastq' AND v[3] NOT LIKE '+%' THEN 'comment' WHEN NOT regexp_full_match(v[2], '[ACGTNacgtn]+') THEN 'sequence'
+         WHEN length(v[2]) <> length(v[4]) THEN 'length'
+         WHEN len(list_filter(string_split(v[4], ''), lambda c: ascii(c) - phred_offset NOT BETWEEN 0 AND 41)) > 0 THEN 'quality' END AS reason FROM f)"""
+
+SQL: dict[str, str] = {
+    "p3_found": f"WITH {_RECORDS} SELECT raw_id, reason FROM r WHERE reason IS NOT NULL",
+    "p3_loaded": f"WITH {_RECORDS} SELECT raw_id, CASE WHEN layout = 'fastq' THEN v[1][2:] ELSE v[1] END AS name, v[2] AS sequence, CASE WHEN layout = 'fastq' THEN v[3][2:] ELSE v[3] END AS comment, v[4] AS quality FROM r WHERE reason IS NULL",
+}
