@@ -52,8 +52,7 @@ def prose(text: str) -> str:
     """The text without signature, code and log blocks, tags and URLs; quote marks are taken off."""
     t = _BLOCK.sub("\n", text)
     t = _SIGNATURE.sub("", t)
-    t = _URL.sub(" ", t)
-    t = html.unescape(_TAG.sub(" ", t))
+    t = html.unescape(_URL.sub(" ", _TAG.sub(" ", t)))
     t = _AUTHOR.sub("", t)
     return re.sub(r"^(?:> ?)+", "", t, flags=re.M)
 

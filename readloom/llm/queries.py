@@ -18,7 +18,6 @@ from readloom.llm.shared_spans import shared_by_record
 from readloom.operators.keyed import once_per_key
 from readloom.session import materialize, table
 
-NORMAL = normal_sequence(F.col("sequence"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
