@@ -52,6 +52,12 @@ def _kept(df: DataFrame, read: str = "r1") -> DataFrame:
     return df.where(r.isNotNull()).select("ordinal", r["sequence"].alias("sequence"), r["quality"].alias("quality"), r["phred_offset"].alias("phred_offset"), r["head_pos"].alias("head_pos"))
 
 
+def _lengths(df: DataFrame) -> DataFrame:
+    """Lengths of both reads, -1 for a dropped one."""
+    length = lambda r: F.coalesce(F.length(F.col(r)["sequence"]), F.lit(-1))
+    return df.select("ordinal", length("r1").alias("length1"), length("r2").alias("length2"))
+
+
 def _step(*steps: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: _kept(trim_single(_singles(spark, sf_dir), list(steps)))
 
@@ -87,7 +93,7 @@ def _palindromes(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     prefixes = tuple((x[-min(len(x), len(y)) :], y[-min(len(x), len(y)) :]) for x, y in zip(a.forward[:n], a.reverse[:n]))
     clip = make_clip(Adapters(prefixes, a.forward[n:], a.reverse[n:], a.common), ["2", "30", "10", *more])
     done = trim_paired(_pairs(spark, sf_dir), [clip])
-    return done.select("ordinal", F.length(F.col("r1")["sequence"]).alias("length1"), F.length(F.col("r2")["sequence"]).alias("length2"))
+    return _lengths(done)
 
 
 def clip_palindrome(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,8 +173,7 @@ def quality_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chain_pe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = trim_paired(_pairs(spark, sf_dir), CHAIN)
-    return done.select("ordinal", F.length(F.col("r1")["sequence"]).alias("length1"), F.length(F.col("r2")["sequence"]).alias("length2"))
+    return _lengths(trim_paired(_pairs(spark, sf_dir), CHAIN))
 
 
 def chain_clip_pe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,7 +191,8 @@ def fastq_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chain over a stream of the table's files with running counts; the last counts come out."""
     path = f"{sf_dir}/fastq_reads.parquet"
-    rows = read_stream(spark, path, spark.read.parquet(path).schema).where("sequence IS NOT NULL AND quality IS NOT NULL AND phred_offset IS NOT NULL")
+    # a pattern, as the table is a file here and a folder there
+    rows = read_stream(spark, f"{sf_dir}/fastq_reads.parque[t]", spark.read.parquet(path).schema).where("sequence IS NOT NULL AND quality IS NOT NULL AND phred_offset IS NOT NULL")
     read = read_struct(F.col("name"), F.col("sequence"), F.col("comment"), F.col("quality"), F.col("phred_offset"), F.col("barcode_label"), F.col("head_pos"))
     counts = running_stats(trim_stream(single(rows.select("ordinal", read.alias("r1"))), CHAIN))
     last: list = []
@@ -352,7 +358,7 @@ SQL: dict[str, str] = {
     "pair_zip": f"WITH {_START}, {_MATES} SELECT r.ordinal, r.name AS o1_name, CAST(length(r.s) AS INTEGER) AS o1_len, m.name AS o2_name, CAST(length(m.s) AS INTEGER) AS o2_len FROM reads r JOIN mates_ok m USING (ordinal)",
     "pair_route": _sql_pairs(_SIDES, _SIDES, "SELECT ordinal, CASE WHEN b IS NULL THEN '1U' ELSE '1P' END AS stream, a AS sequence FROM done WHERE a IS NOT NULL UNION ALL SELECT ordinal, CASE WHEN a IS NULL THEN '2U' ELSE '2P' END, b FROM done WHERE b IS NOT NULL"),
     "stats_pe": _sql_pairs(_SIDES, _SIDES, "SELECT count(*) AS input, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS both, count(*) FILTER (a IS NOT NULL AND b IS NULL) AS forward_only, count(*) FILTER (a IS NULL AND b IS NOT NULL) AS reverse_only, count(*) FILTER (a IS NULL AND b IS NULL) AS dropped FROM done"),
-    "chain_pe": _sql_pairs(CHAIN, CHAIN, "SELECT ordinal, CAST(length(a) AS INTEGER) AS length1, CAST(length(b) AS INTEGER) AS length2 FROM done"),
+    "chain_pe": _sql_pairs(CHAIN, CHAIN, "SELECT ordinal, CAST(coalesce(length(a), -1) AS INTEGER) AS length1, CAST(coalesce(length(b), -1) AS INTEGER) AS length2 FROM done"),
     "stats_se": f"WITH {_START}, {_chain_sql} SELECT n AS input, k AS surviving, n - k AS dropped FROM (SELECT count(*) AS n FROM reads), (SELECT count(*) AS k FROM {_chain_last})",
     "stream_stats": f"WITH all_reads AS (SELECT * FROM fastq_reads), {_START.replace('coalesce(f.phred_offset, r.phred_offset)', 'f.phred_offset').replace('WHERE', 'WHERE f.phred_offset IS NOT NULL AND')}, {_chain_sql} SELECT n AS input, k AS surviving, n - k AS dropped FROM (SELECT count(*) AS n FROM reads), (SELECT count(*) AS k FROM {_chain_last})",
     "log_se": f"""WITH {_START}, base AS (SELECT row_number() OVER () AS i, * FROM reads), numbered AS (SELECT i AS ordinal, name, s, q, o, h FROM base), {_log_sql}
