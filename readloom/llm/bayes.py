@@ -5,6 +5,8 @@ from __future__ import annotations
 from zlib import crc32
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 BUCKETS = 1 << 16
 
@@ -42,3 +44,14 @@ def fit(counts: np.ndarray, alpha: float = 0.1) -> np.ndarray:
 def score(matrix: np.ndarray, bucket: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     """Sums of log probabilities (rows x classes)."""
     return np.stack([np.bincount(row, weights=m[bucket], minlength=rows) for m in matrix], axis=1) if rows else np.zeros((0, len(matrix)))
+
+
+def bounded_sample(df: DataFrame, hash_column: str, most: int) -> DataFrame:
+    """The ``most`` rows with the least hashes; tasks send little more than that in all."""
+    n = df.count()
+    if n > most:
+        # hashes are spread evenly over the long integers: cut where about 1.2 x most rows lie, and some
+        share = min(1.0, (1.2 * most + 1000) / n)
+        cut = df.where(F.col(hash_column) < F.lit(int(-(2**63) + share * (2**64 - 1))))
+        df = cut if cut.count() >= most else df
+    return df.orderBy(hash_column).limit(most)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from readloom.llm.bayes import BUCKETS, Features, fit, ngrams, score
+from readloom.llm.bayes import BUCKETS, Features, bounded_sample, fit, ngrams, score
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "nl", "pl", "ru")
 #: Spellings of each language besides its code: three letters, English name, own name.
@@ -34,7 +34,8 @@ _BLOCK = re.compile(r"```.*?(?:```|\Z)|\[code\].*?(?:\[/code\]|\Z)|<pre>.*?(?:</
 _SIGNATURE = re.compile(r"^(?:> ?)*-- ?\r?$.*\Z", re.S | re.M)
 _URL = re.compile(r"\b(?:https?|ftp)://\S+|\bwww\.\S+")
 _TAG = re.compile(r"<[^<>]*>|\[/?[a-z]+(?:=[^\]]*)?\]|\[\.\.\.\]")
-_AUTHOR = re.compile(r"^(?:> ?)*\S*\d\S*:\s*$", re.M)
+_AUTHOR = re.compile(r"^(?:> ?)*\S{0,80}\d\S{0,80}:[^\S\n]*$", re.M)
+_CODE_WORD = re.compile(r"(?<!\S)[^\s\d_]*+[\d_]\S*+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 
 
@@ -59,7 +60,7 @@ def prose(text: str) -> str:
 
 def prose_words(text: str) -> list[str]:
     """Words of prose in lower case; what holds digits or underscores is no word."""
-    return [w.lower() for token in prose(text).split() if not re.search(r"[\d_]", token) for w in _WORD.findall(token)]
+    return _WORD.findall(_CODE_WORD.sub(" ", prose(text)).lower())
 
 
 def _vectors(lists: list[list[str]], matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,7 +122,7 @@ def fit_languages(df: DataFrame, key: str, text: str, label: str, most: int = TR
     """
     code = label_language(F.col(label))
     rows = df.where(F.col(text).isNotNull()).select(F.xxhash64(key).alias("h"), F.col(text).alias("text"), code.alias("code")).where("code IS NOT NULL")
-    sample = rows.orderBy("h").limit(most).select("text", "code").collect()
+    sample = bounded_sample(rows, "h", most).select("text", "code").collect()
     if not sample:
         return None
     lists = [prose_words(r[0]) for r in sample]
@@ -138,10 +139,10 @@ def fit_languages(df: DataFrame, key: str, text: str, label: str, most: int = TR
     return matrix
 
 
-_SEGMENTS = "key {}, segment int, lang string, words int, confidence double, prose string"
+_SEGMENTS = "key {}, segment int, lang string, words int, confidence double"
 
 
-def _segments(held, switch: float):
+def _segments(held, switch: float, with_prose: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix = held.value
         for whole in batches:
@@ -164,18 +165,17 @@ def _segments(held, switch: float):
                 of = text[first]
                 begin = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
                 number = np.arange(len(of)) - np.repeat(begin, np.diff(np.append(begin, len(of))))
-                flat = [w for x in lists for w in x]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("key").take(pa.array(of)),
-                        pa.array(number.astype(np.int32)),
-                        pa.array([LANGUAGES[i] for i in lang]),
-                        pa.array(n.astype(np.int32)),
-                        pa.array(sure),
-                        pa.array([" ".join(flat[a : a + b]) for a, b in zip(first.tolist(), n.tolist())]),
-                    ],
-                    names=["key", "segment", "lang", "words", "confidence", "prose"],
-                )
+                out = {
+                    "key": batch.column("key").take(pa.array(of)),
+                    "segment": pa.array(number.astype(np.int32)),
+                    "lang": pa.array([LANGUAGES[i] for i in lang]),
+                    "words": pa.array(n.astype(np.int32)),
+                    "confidence": pa.array(sure),
+                }
+                if with_prose:
+                    flat = [w for x in lists for w in x]
+                    out["prose"] = pa.array([" ".join(flat[a : a + b]) for a, b in zip(first.tolist(), n.tolist())])
+                yield pa.RecordBatch.from_pydict(out)
 
     return run
 
@@ -188,8 +188,8 @@ def _by_size(batch: pa.RecordBatch, most: int = 2_000_000) -> Iterator[pa.Record
         yield batch.slice(a, b - a)
 
 
-def language_segments(df: DataFrame, key: str, text: str, label: str, matrix: np.ndarray | None = None, switch: float = SWITCH, most: int = TRAIN_DOCS) -> DataFrame:
-    """``(key, segment, lang, words, confidence, prose)``: the stretches of one language in every text.
+def language_segments(df: DataFrame, key: str, text: str, label: str, matrix: np.ndarray | None = None, switch: float = SWITCH, most: int = TRAIN_DOCS, with_prose: bool = False) -> DataFrame:
+    """``(key, segment, lang, words, confidence[, prose])``: the stretches of one language in every text.
 
     Multinomial naive Bayes over hashed character n-grams scores every word of prose; the
     likeliest path through the text, on which a change of language costs ``switch``, gives
@@ -205,7 +205,8 @@ def language_segments(df: DataFrame, key: str, text: str, label: str, matrix: np
     if matrix is None:
         rows, matrix = rows.limit(0), np.zeros((len(LANGUAGES), BUCKETS), np.float32)
     held = df.sparkSession.sparkContext.broadcast(matrix)
-    return rows.mapInArrow(_segments(held, switch), _SEGMENTS.format(df.schema[key].dataType.simpleString()))
+    schema = _SEGMENTS.format(df.schema[key].dataType.simpleString()) + ", prose string" * with_prose
+    return rows.mapInArrow(_segments(held, switch, with_prose), schema)
 
 
 def document_languages(segments: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from readloom.session import materialize
+
 DIGIT_BITS = 16
 
 
@@ -85,6 +87,8 @@ def radix_select(pieces: DataFrame, groups: list[str], pcts: list[float], digit_
     rank = F.greatest(F.lit(1), F.ceil(F.col("total").cast("decimal(20,0)") * F.col("micro").cast("decimal(9,0)") / F.lit(100_000_000).cast("decimal(9,0)"))).cast("long")
     want = totals.select("*", steps.alias("micro")).select(*names, "micro", rank.alias("rank"), F.lit(0).cast("long").alias("prefix"))
     for done in range(0, 64, digit_bits):
+        # a row per group and percentile: written down, each pass plans against its true size
+        want = materialize(want, f"targets{done}")
         at = F.shiftrightunsigned("u", 64 - done) if done else F.lit(0).cast("long")
         digit = F.shiftrightunsigned("u", 64 - done - digit_bits).bitwiseAND(F.lit((1 << digit_bits) - 1))
         followed = want.select(*[F.col(a).alias(f"w_{a}") for a in names], F.col("prefix").alias("w_p")).distinct()

@@ -104,7 +104,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_segments(table(spark, sf_dir, "documents"), "doc_id", "text", "lang").withColumnRenamed("key", "doc_id")
+    return language_segments(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", with_prose=True).withColumnRenamed("key", "doc_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -16,6 +16,7 @@ from readloom.session import broadcast_if_small, materialize
 ANCHOR = 16
 SPAN = 32  # the span is twice the anchor, so that a span is one 64-bit integer
 HOT_ROWS = 200_000  # rows under one anchor beyond which they are compared by another way
+EXTRA = -(2**63)  # stands for all texts of the extra table
 PROBE_ROWS = 200_000  # rows of the sample in which such anchors are looked for
 
 ANCHOR_SQL = "anchor int, rep long, pos int, before int, after int, reach int"
@@ -98,7 +99,7 @@ def _mask_batch(rep: np.ndarray, pos: np.ndarray, row: np.ndarray, left: np.ndar
         return None
     mask = np.zeros(len(rep), np.int64)
     np.bitwise_or.at(mask, row, np.int64(1) << left)
-    on = np.flatnonzero((mask != 0) & (rep >= 0))
+    on = np.flatnonzero((mask != 0) & (rep != EXTRA))
     if not len(on):
         return None
     return pa.RecordBatch.from_arrays([pa.array(rep[on]), pa.array(pos[on]), pa.array(mask[on].astype(np.int32))], names=["rep", "pos", "mask"])
@@ -186,8 +187,8 @@ def shared_spans(texts: DataFrame, extra: DataFrame | None = None, hot_rows: int
     """``(rep, bases, shared, stretches)`` for each record of ``texts`` (rep, seq) with a shared span.
 
     A base is shared if it lies in a stretch of 32 or more bases A, C, G, T that also occurs
-    in another record or in a row of ``extra`` (seq). ``texts`` holds different texts only,
-    has non-negative ``rep`` and should be materialized; ``extra`` may repeat texts and hold nulls.
+    in another record or in a row of ``extra`` (seq). ``texts`` holds different texts only
+    and should be materialized; ``extra`` may repeat texts and hold nulls.
     ``bases`` is the length of the record, ``stretches`` the number of maximal shared ones.
 
     Method: seed and extend. Records meet on winnowed 16-mers, of which every 32-base window
@@ -200,7 +201,8 @@ def shared_spans(texts: DataFrame, extra: DataFrame | None = None, hot_rows: int
     """
     rows = texts
     if extra is not None:
-        named = extra.where("seq IS NOT NULL").select("seq").distinct().select((-1 - F.row_number().over(_by_seq())).cast("long").alias("rep"), "seq")
+        # extra texts need not be told apart: what counts is that they are not the record itself
+        named = extra.where("seq IS NOT NULL").select(F.lit(EXTRA).alias("rep"), "seq").distinct()
         rows = texts.select("rep", "seq").unionByName(named)
     anchors = rows.select("rep", "seq").mapInArrow(_anchors, ANCHOR_SQL)
     n = texts.count()
@@ -212,17 +214,12 @@ def shared_spans(texts: DataFrame, extra: DataFrame | None = None, hot_rows: int
     if hot:
         spans = anchors.where(F.col("anchor").isin(hot)).mapInArrow(_spans, "span long, rep long, at int")
         shared = materialize(spans.groupBy("span").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("span"), "hot-spans")
-        again = spans.join(broadcast_if_small(shared, 64), "span", "left_semi").where("rep >= 0")
+        again = spans.join(broadcast_if_small(shared, 64), "span", "left_semi").where(F.col("rep") != EXTRA)
         masks = masks.unionByName(again.select("rep", F.col("at").alias("pos"), F.lit(1).alias("mask")))
     cover = masks.repartition("rep").sortWithinPartitions("rep").mapInArrow(_covered, "rep long, shared long, stretches long")
     return cover.join(texts.select("rep", F.length("seq").alias("bases")), "rep").select("rep", "bases", "shared", "stretches")
 
 
-def _by_seq():
-    from pyspark.sql import Window
-
-    return Window.orderBy("seq")
-
 
 def shared_by_record(df: DataFrame, key: str, text: Column, extra: DataFrame | None = None, least_share: float = 0.0, **how) -> DataFrame:
     """``(key, bases, shared, stretches)`` per record with shared bases; see ``shared_spans``.
@@ -233,9 +230,5 @@ def shared_by_record(df: DataFrame, key: str, text: Column, extra: DataFrame | N
     at least this share of all bases is shared. Empty tables give no rows.
     """
     texts = materialize(classes(df.where(F.col(key).isNotNull()), key, text), "classes")
-    # classes are numbered by their least key, which may be negative
-    low = texts.agg(F.min("rep")).first()[0]
-    if low is not None and low < 0:
-        raise ValueError("keys must not be negative")
     found = materialize(shared_spans(texts, extra, **how).where(F.col("shared") >= F.lit(least_share) * F.col("bases")), "shared")
     return members(df, key, text, texts, found.select("rep")).join(found, "rep").select("key", "bases", "shared", "stretches")
