@@ -35,9 +35,15 @@ class Features:
         return np.fromiter((b for x in lists for b in x), np.int64, len(row)), row
 
 
-def fit(counts: np.ndarray, alpha: float = 0.1) -> np.ndarray:
-    """Log probabilities (classes x buckets) of feature counts of the same shape."""
-    smooth = counts + alpha
+def fit(counts: np.ndarray, strength: float = 50.0) -> np.ndarray:
+    """Log probabilities (classes x buckets) of feature counts of the same shape.
+
+    Counts are smoothed towards the distribution over all classes, with the weight of
+    ``strength`` features, so that what all classes have in common tells nothing and classes of
+    little text are at no disadvantage.
+    """
+    overall = counts.sum(axis=0) + 0.01
+    smooth = counts + strength * overall / overall.sum()
     return np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float32)
 
 

@@ -26,6 +26,7 @@ SPELLINGS = {
     "ru": ("rus", "russian", "русский"),
 }
 TRAIN_DOCS = 20_000  # most labelled documents that the classifier is fitted on
+TRAIN_WORDS = 400  # what a longer text is weighted down to in the fit
 SWITCH = 9.0  # what a change of language costs, in nats
 WEIGHT = 0.6  # n-grams of a word overlap; their log probabilities count by this
 ROUNDS = 3  # fits; from the second on, words train the language they were found in
@@ -105,10 +106,10 @@ def best_path(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndar
     return path
 
 
-def _count(word: np.ndarray, label: np.ndarray, bucket: np.ndarray, row: np.ndarray, words: int, classes: int) -> np.ndarray:
+def _count(word: np.ndarray, label: np.ndarray, weight: np.ndarray, bucket: np.ndarray, row: np.ndarray, words: int, classes: int) -> np.ndarray:
     out = np.zeros((classes, BUCKETS))
     for c in range(classes):
-        n = np.bincount(word[label == c], minlength=words)
+        n = np.bincount(word[label == c], weights=weight[label == c], minlength=words)
         out[c] = np.bincount(bucket, weights=n[row], minlength=BUCKETS)
     return out
 
@@ -131,11 +132,13 @@ def fit_languages(df: DataFrame, key: str, text: str, label: str, most: int = TR
     word = np.fromiter((seen.setdefault(w, len(seen)) for x in lists for w in x), np.int64)
     bucket, row = Features(ngrams).sparse(list(seen))
     label_of = np.repeat(np.array([LANGUAGES.index(r[1]) for r in sample]), lengths)
-    matrix = fit(_count(word, label_of, bucket, row, len(seen), len(LANGUAGES)))
+    # no text counts for more than so many words, or one long text under a wrong label would spoil its language
+    weight = np.repeat(np.minimum(1.0, TRAIN_WORDS / np.maximum(lengths, 1)), lengths)
+    matrix = fit(_count(word, label_of, weight, bucket, row, len(seen), len(LANGUAGES)))
     for _ in range(rounds - 1):
         vector = score(matrix, bucket, row, len(seen)) * WEIGHT
         path = best_path(vector[word], lengths, SWITCH)
-        matrix = fit(_count(word, path, bucket, row, len(seen), len(LANGUAGES)))
+        matrix = fit(_count(word, path, weight, bucket, row, len(seen), len(LANGUAGES)))
     return matrix
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,20 +15,19 @@ from readloom.session import materialize
 DIGIT_BITS = 16
 
 
-@F.pandas_udf(T.LongType())
-def _float_key(x: pd.Series) -> pd.Series:
+@F.arrow_udf(T.LongType())
+def _float_key(x: pa.Array) -> pa.Array:
     """Doubles to integers of the same order; -0.0 counts as 0.0 and NaN is largest."""
-    v = x.to_numpy(dtype=np.float64, na_value=np.nan) + 0.0
+    v = x.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
     v = np.where(np.isnan(v), np.nan, v)  # one NaN, above infinity
     bits = v.view(np.int64)
-    key = np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits)
-    return pd.Series(key)
+    return pa.array(np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits))
 
 
-@F.pandas_udf(T.DoubleType())
-def _float_value(key: pd.Series) -> pd.Series:
-    k = key.to_numpy(dtype=np.int64)
-    return pd.Series(np.where(k < 0, k ^ np.int64(0x7FFFFFFFFFFFFFFF), k).view(np.float64))
+@F.arrow_udf(T.DoubleType())
+def _float_value(key: pa.Array) -> pa.Array:
+    k = key.to_numpy(zero_copy_only=False).astype(np.int64)
+    return pa.array(np.where(k < 0, k ^ np.int64(0x7FFFFFFFFFFFFFFF), k).view(np.float64))
 
 
 def order_key(value: Column, kind: T.DataType) -> Column:
