@@ -35,16 +35,17 @@ class Features:
         return np.fromiter((b for x in lists for b in x), np.int64, len(row)), row
 
 
-def fit(counts: np.ndarray, strength: float = 50.0) -> np.ndarray:
+def fit(counts: np.ndarray, common: float = 0.05) -> np.ndarray:
     """Log probabilities (classes x buckets) of feature counts of the same shape.
 
-    Counts are smoothed towards the distribution over all classes, with the weight of
-    ``strength`` features, so that what all classes have in common tells nothing and classes of
-    little text are at no disadvantage.
+    Each class is mixed with the distribution over all classes in the share ``common``: what
+    no class has seen tells nothing, and classes of little text are at no disadvantage.
     """
     overall = counts.sum(axis=0) + 0.01
-    smooth = counts + strength * overall / overall.sum()
-    return np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float32)
+    overall = overall / overall.sum()
+    size = counts.sum(axis=1, keepdims=True)
+    own = np.where(size > 0, counts / np.maximum(size, 1), overall)
+    return np.log((1 - common) * own + common * overall).astype(np.float32)
 
 
 def score(matrix: np.ndarray, bucket: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
