@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from readloom.session import broadcast_if_small, materialize
 
 PHRASE = 12
-VOCABULARY_BYTES = 64 << 20  # most bytes of test terms that are handed to every task
+VOCABULARY_BYTES = 16 << 20  # most bytes of test terms that are handed to every task
 
 _TAGS = re.compile(r"<[^<>]*>|\[/?[a-z]+\]|\[[a-z]+=[^\]]*\]")
 _WORD = re.compile(r"[^\W_]+")

@@ -120,7 +120,30 @@ _BASES = """
  u AS (SELECT *, sum(n) OVER (PARTITION BY run_id, lane ORDER BY v) AS upto, sum(n) OVER (PARTITION BY run_id, lane) AS total FROM v),
  p AS (SELECT run_id, lane, pct, min(v) AS value FROM u, (SELECT unnest([10, 25, 50, 75, 90]) AS pct) WHERE upto * 100 >= pct * total GROUP BY ALL)"""
 
+_CLASSES = f"reads AS ({_READS}), classes AS (SELECT s, min(ordinal) AS rep FROM reads GROUP BY s)"
+#: What `words` does, with the entities that the test tables hold.
+_PLAIN = "lower(replace(replace(replace(replace(regexp_replace({text}, '<[^<>]*>|\\[/?[a-z]+\\]|\\[[a-z]+=[^\\]]*\\]', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'))"
+_WORDS = f"regexp_extract_all({_PLAIN}, '[\\p{{{{L}}}}\\p{{{{N}}}}]+')"
+
+
+def _grams(key: str, of: str) -> str:
+    text = _WORDS.format(text="text")
+    return f"SELECT DISTINCT {key}, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {key}, {text} AS w FROM {of} WHERE text IS NOT NULL))"
+
+
 SQL: dict[str, str] = {
+    "p2_found": f"""WITH {_CLASSES}, k AS (SELECT DISTINCT rep, s[i:i + 11] AS k FROM (SELECT rep, s, unnest(range(1, length(s) - 10)) AS i FROM classes)),
+      ok AS (SELECT *, count(*) OVER (PARTITION BY rep) AS n FROM k WHERE NOT contains(k, 'N')), big AS (SELECT * FROM ok WHERE n >= 20),
+      pairs AS (SELECT a.rep AS a, b.rep AS b FROM big a JOIN big b ON a.k = b.k AND a.rep < b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING 2 * count(*) >= a.n + b.n - count(*)),
+      m AS (SELECT rep, ordinal FROM classes JOIN reads USING (s))
+      SELECT least(x.ordinal, y.ordinal) AS ordinal_a, greatest(x.ordinal, y.ordinal) AS ordinal_b FROM pairs JOIN m x ON x.rep = a JOIN m y ON y.rep = b""",
+    "p5_found": f"""WITH {_CLASSES}, w AS (SELECT rep, i, s[i:i + 31] AS w FROM (SELECT rep, s, unnest(range(1, length(s) - 30)) AS i FROM classes)),
+      ad AS (SELECT -1 AS rep, unnest(list_transform(range(1, length(sequence) - 30), lambda i: upper(sequence)[i:i + 31])) AS w FROM adapters WHERE side = 'forward'),
+      shared AS (SELECT w FROM (SELECT rep, w FROM w UNION ALL SELECT rep, w FROM ad) WHERE regexp_full_match(w, '[ACGT]+') GROUP BY w HAVING count(DISTINCT rep) > 1),
+      spots AS (SELECT rep, least(32, coalesce(lead(i) OVER (PARTITION BY rep ORDER BY i) - i, 32)) AS bases FROM w WHERE w IN (SELECT w FROM shared)),
+      c AS (SELECT rep, sum(bases) AS n FROM spots GROUP BY rep)
+      SELECT ordinal FROM c JOIN classes USING (rep) JOIN reads USING (s) WHERE 2 * n >= length(s)""",
+    "p6_found": f"WITH d AS ({_grams('doc_id', 'documents')}), e AS ({_grams('item_id', 'eval_items')}) SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (g)",
     "p1_found": f"WITH r AS ({_READS}) SELECT s AS sequence FROM r GROUP BY s HAVING count(*) * 1000 >= 5 * (SELECT count(*) FROM r)",
     "p1_top": f"SELECT s AS sequence, count(*) AS n FROM ({_READS}) GROUP BY s ORDER BY n DESC, s LIMIT 10",
     "p4_percentiles": f"WITH {_BASES} SELECT run_id, lane, CAST(pct AS INTEGER) AS pct, CAST(value AS BIGINT) AS value FROM p",
