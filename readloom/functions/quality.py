@@ -10,15 +10,31 @@ CHARACTERS = "".join(map(chr, range(256)))
 SHIFT = 31  # between the encodings with offset 33 and 64
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def masked_quality(read: Column) -> Column:
     """The quality with the character for 0 under every upper-case N; only reads with an N pay for it."""
     per_base = F.zip_with(F.split(read["sequence"], ""), F.split(read["quality"], ""), lambda s, q: F.when(s == "N", F.char(read["phred_offset"])).otherwise(q))
     return F.when(read["sequence"].contains("N"), F.array_join(per_base, "")).otherwise(read["quality"])
 
 
-def below(read: Column, threshold: int) -> Column:
-    """All characters that stand for a quality below ``threshold``."""
-    return F.substring(F.lit(CHARACTERS), F.lit(1), F.greatest(read["phred_offset"] + F.lit(threshold), F.lit(0)))
+def first_good(text: Column, read: Column, threshold: int) -> Column:
+    """The 1-based place of the first character of ``text`` that stands for at least ``threshold``, 0 if there is none.
+
+    Patterns are compiled once, so the two offsets in use have one each; others are looked up by trimming.
+    """
+
+    def place(offset: int) -> Column:
+        code = offset + threshold
+        return F.regexp_instr(text, F.lit(f"[^\\x00-\\x{code - 1:02x}]" if code > 0 else "[\\x00-\\x{ffff}]"))
+
+    low = F.substring(F.lit(CHARACTERS), F.lit(1), F.greatest(read["phred_offset"] + F.lit(threshold), F.lit(0)))
+    left = F.length(F.ltrim(text, low))
+    other = F.when(left > 0, F.length(text) - left + 1).otherwise(F.lit(0))
+    return F.when(read["phred_offset"] == 33, place(33)).when(read["phred_offset"] == 64, place(64)).otherwise(other)
 
 
 def quality_values(read: Column) -> Column:

@@ -11,9 +11,10 @@ import logging
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 
-from readloom.operators.steps import ArrowStep, letters, quality_matrix, register
+from readloom.operators.batch import Batch, letters
+from readloom.operators.steps import BatchStep, register
 from readloom.sources.fasta import find_adapters, read_fasta
 
 log = logging.getLogger("readloom")
@@ -89,7 +90,7 @@ def sort_adapters(records: list[tuple[str, str]]) -> Adapters:
 
 
 @dataclass
-class AdapterClip(ArrowStep):
+class AdapterClip(BatchStep):
     """ILLUMINACLIP: keep what lies before the leftmost adapter; nothing before it drops the read."""
 
     adapters: Adapters
@@ -102,46 +103,39 @@ class AdapterClip(ArrowStep):
     def __post_init__(self):
         self.least_overlap = min(15, int(np.float32(self.simple) / MATCH))
 
-    def keep(self, first: pd.DataFrame, second: pd.DataFrame | None):
+    def run(self, reads: list[Batch]) -> None:
         far = np.iinfo(np.int32).max
-        a = _Reads(first)
-        ka = np.full(a.count, far, np.int64)
-        b = kb = None
-        if second is not None:
-            b = _Reads(second)
-            kb = np.full(b.count, far, np.int64)
-            both = np.flatnonzero(first["sequence"].notna().to_numpy() & second["sequence"].notna().to_numpy())
+        laid = [_Reads(b) for b in reads]
+        keep = [np.full(b.rows, far, np.int64) for b in reads]
+        if len(reads) == 2:
+            both = np.flatnonzero(reads[0].alive & reads[1].alive)
             for pair in self.adapters.pairs:
-                at, kept = self._palindromes(a.take(both), b.take(both), *pair)
+                at, kept = self._palindromes(laid[0].take(both), laid[1].take(both), *pair)
                 hit = both[at]
-                ka[hit] = np.minimum(ka[hit], kept)
-                kb[hit] = np.minimum(kb[hit], kept) if self.keep_both else 0
-        for seq in dict.fromkeys(self.adapters.forward + self.adapters.common):
-            self._simple(a, seq, ka)
-        if b is not None:
-            for seq in dict.fromkeys(self.adapters.reverse + self.adapters.common):
-                self._simple(b, seq, kb)
-        done = lambda k, r: np.where(k == far, r.n, np.where(k > 0, np.minimum(k, r.n), -1))
-        return done(ka, a), None if b is None else done(kb, b)
+                keep[0][hit] = np.minimum(keep[0][hit], kept)
+                keep[1][hit] = np.minimum(keep[1][hit], kept) if self.keep_both else 0
+        for b, r, k, mine in zip(reads, laid, keep, (self.adapters.forward, self.adapters.reverse)):
+            for seq in dict.fromkeys(mine + self.adapters.common):
+                self._simple(r, seq, k)
+            b.drop(k <= 0)
+            b.narrow(b.start, np.minimum(k, b.n))
 
     def _simple(self, reads: _Reads, clip: str, keep: np.ndarray) -> None:
         """Lower ``keep`` to the leftmost offset at which the sequence matches."""
         over = self.least_overlap
-        chars, _ = letters(pd.Series([clip]))
+        chars, _ = letters(pa.array([clip]))
         chars = chars[0]
         size = len(chars)
-        words = _words(_bits(np.append(chars, np.zeros(SEED, np.uint32)))[None, :])[0]
+        words = _words(_bits(np.append(chars, np.zeros(SEED, chars.dtype)))[None, :])[0]
         if size < SHORT:
             seeds = [(j, words[j], _mask(np.array([size]))[0]) for j in range(size - over)]
         elif size < MEDIUM:
             seeds = [(j, words[j], _mask(np.array([SEED]))[0]) for j in range(size - SEED + 1)]
         else:
             seeds = [(j, words[j], _mask(np.array([SEED]))[0]) for j in range(0, size - SEED + 1, STRIDE)]
-        # reads that are already cut to nothing need no look
-        row, col = reads.places(over, keep > 0)
+        row, col, read_words, read_mask = reads.places(over)
         if not len(row) or not seeds:
             return
-        read_words, read_mask = reads.words[row, col], _mask(reads.n[row] - col)
         found = []
         for j, word, mask in seeds:
             near = np.flatnonzero(np.bitwise_count((read_words ^ word) & (read_mask & mask)) <= 2 * self.seed_mismatches)
@@ -235,15 +229,12 @@ class AdapterClip(ArrowStep):
 class _Reads:
     """A batch of reads as padded matrices."""
 
-    def __init__(self, frame: pd.DataFrame | None = None, chars=None, n=None, quality=None):
-        if frame is not None:
-            chars, n = letters(frame["sequence"])
-            quality = quality_matrix(frame)[0].astype(np.int32)
-            pad = ((0, 0), (0, SEED))
-            chars, quality = np.pad(chars, pad), np.pad(quality, pad)
+    def __init__(self, batch: Batch | None = None, chars=None, n=None, quality=None):
+        if batch is not None:
+            chars, quality, n = batch.aligned(batch.chars, SEED), batch.aligned(batch.q, SEED), batch.n
         self.chars, self.n, self.quality = chars, n, quality
         self.count, self.width = chars.shape
-        self._words = None
+        self._words = self._places = None
 
     @property
     def inside(self) -> np.ndarray:
@@ -260,14 +251,17 @@ class _Reads:
 
     def behind(self, prefix: str) -> _Reads:
         """The reads with a prefix of full quality before them."""
-        head = letters(pd.Series([prefix]))[0]
+        head = letters(pa.array([prefix]))[0]
         chars = np.concatenate([np.repeat(head, self.count, axis=0), self.chars], axis=1)
         quality = np.concatenate([np.full((self.count, len(prefix)), PREFIX_QUALITY, np.int32), self.quality], axis=1)
         return _Reads(chars=chars, n=self.n + len(prefix), quality=quality)
 
-    def places(self, over: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, column) of all places with more than ``over`` bases from there to the end."""
-        return np.nonzero((np.arange(self.width) < (self.n - over)[:, None]) & wanted[:, None])
+    def places(self, over: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, column, word, mask) of all places with more than ``over`` bases from there to the end; the same for all sequences."""
+        if self._places is None or self._places[0] != over:
+            row, col = np.nonzero(np.arange(self.width) < (self.n - over)[:, None])
+            self._places = over, (row, col, self.words[row, col], _mask(self.n[row] - col))
+        return self._places[1]
 
 
 def make_clip(adapters: Adapters, args: list[str]) -> AdapterClip:

@@ -1,33 +1,35 @@
 """Trimming steps: each shortens, keeps or drops a read.
 
-A step that is a ``ColumnStep`` is an expression over one read and its slot (0 forward,
-1 reverse) and runs inside the JVM. An ``ArrowStep`` gets Arrow columns of whole batches and
-returns how many bases to keep from the left. New steps are added with ``register``.
+A ``ColumnStep`` is an expression over one read and its slot (0 forward, 1 reverse) and
+runs inside the JVM. A ``BatchStep`` works on the matrices of an Arrow batch. Most steps are
+both: the JVM has no vectorised operation over the bases of a read, and its lambdas take
+tens of times longer for them, so the chain lets it do the ``light`` steps only, which
+need no look at single bases. New steps are added with ``register``.
 """
 
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from readloom.functions.quality import SHIFT, below, cut, masked_quality, quality_values, recoded, shifted
+from readloom.operators.batch import Batch, first_true, last_true
+from readloom.functions.quality import SHIFT, cut, first_good, let, masked_quality, quality_values, recoded, shifted
 
 log = logging.getLogger("readloom")
 
 UNBOUNDED = 2**31 - 1
-ROWS = 4096  # reads that are held as matrices at a time
 
 
 class Step:
     """A parsed step; ``text`` is what it was parsed from."""
 
     text: str = ""
+    light: bool = False
 
 
 class ColumnStep(Step):
@@ -36,9 +38,13 @@ class ColumnStep(Step):
         raise NotImplementedError
 
 
-class ArrowStep(Step):
-    def keep(self, first: pd.DataFrame, second: pd.DataFrame | None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Bases to keep of each read of a batch: -1 drops it. Columns: sequence, quality, phred_offset; null reads are None."""
+class BatchStep(Step):
+    def run(self, reads: list[Batch]) -> None:
+        """Narrow or drop the reads of a batch, one or two to a row; by default slot by slot."""
+        for slot, batch in enumerate(reads):
+            self.narrow(batch, slot, len(reads))
+
+    def narrow(self, b: Batch, slot: int, slots: int) -> None:
         raise NotImplementedError
 
 
@@ -55,7 +61,7 @@ def parse_step(text: str) -> Step:
     at = text.find(":")
     name, args = (text[:at], text[at + 1 :]) if at > 0 else (text, "")
     if name not in _registry:
-        raise ValueError(f"Unknown trimmer: {name}")
+        raise ValueError(f"unknown step {name}")
     step = _registry[name](args)
     step.text = text
     return step
@@ -70,35 +76,53 @@ def _length(read: Column) -> Column:
 
 
 @dataclass
-class Leading(ColumnStep):
+class Leading(ColumnStep, BatchStep):
     """Cut bases of low quality off the start; a read without a good base is dropped."""
 
     quality: int
 
+    def narrow(self, b, slot, slots):
+        at, there = first_true(b.inside & (b.q >= self.quality))
+        b.drop(~there)
+        b.narrow(at, b.end - at)
+
     def apply(self, read, slot, slots):
-        left = F.length(F.ltrim(masked_quality(read), below(read, self.quality)))
-        return F.when(left > 0, cut(read, _length(read) - left, left))
+        at = first_good(masked_quality(read), read, self.quality)
+        return let(at, lambda p: F.when(p > 0, cut(read, p - 1, _length(read) - p + 1)))
 
 
 @dataclass
-class Trailing(ColumnStep):
+class Trailing(ColumnStep, BatchStep):
     """Cut bases of low quality off the end; the first base is never looked at, so it alone does not save a read."""
 
     quality: int
 
+    def narrow(self, b, slot, slots):
+        at, there = last_true(b.inside & (b.q >= self.quality))
+        b.drop(~there | (at <= b.start))
+        b.narrow(b.start, at + 1 - b.start)
+
     def apply(self, read, slot, slots):
-        left = F.length(F.rtrim(masked_quality(read), below(read, self.quality)))
-        return F.when(left > 1, cut(read, F.lit(0), left))
+        from_end = first_good(F.reverse(masked_quality(read)), read, self.quality)
+        return let(from_end, lambda p: F.when((p > 0) & (p < _length(read)), cut(read, F.lit(0), _length(read) - p + 1)))
 
 
 @dataclass
-class EndCrop(ColumnStep):
+class EndCrop(ColumnStep, BatchStep):
     """Drop bases at one end and what exceeds a greatest length, by slot (first, middle, last)."""
 
     head: bool
     bases: tuple[int, int, int]
     longest: tuple[int, int, int]
 
+    light = True
+
+    def narrow(self, b, slot, slots):
+        k = 0 if slot == 0 else 2 if slot == slots - 1 else 1
+        gone = self.bases[k] + np.maximum(0, b.n - self.bases[k] - self.longest[k])
+        b.drop(b.n <= gone)
+        b.narrow(b.start + gone * self.head, b.n - gone)
+
     def apply(self, read, slot, slots):
         # the first slot is the first read, the last slot the last one if there are several
         def by_slot(v):
@@ -109,9 +133,8 @@ class EndCrop(ColumnStep):
 
         n = _length(read)
         bases = by_slot(self.bases)
-        gone = (bases + F.greatest(F.lit(0), n - bases - by_slot(self.longest))).cast("int")
-        start = gone if self.head else F.lit(0)
-        return F.when(n > gone, F.when(gone == 0, read).otherwise(cut(read, start, n - gone)))
+        cropped = (bases + F.greatest(F.lit(0), n - bases - by_slot(self.longest))).cast("int")
+        return let(cropped, lambda gone: F.when(n > gone, F.when(gone == 0, read).otherwise(cut(read, gone if self.head else F.lit(0), n - gone))))
 
 
 def _end_crop(head: bool) -> Callable[[str], Step]:
@@ -133,17 +156,22 @@ def _end_crop(head: bool) -> Callable[[str], Step]:
 
 
 @dataclass
-class Crop(ColumnStep):
+class Crop(ColumnStep, BatchStep):
     """Keep the first bases; 0 leaves an empty read that survives."""
 
     length: int
 
+    light = True
+
+    def narrow(self, b, slot, slots):
+        b.narrow(b.start, np.minimum(b.n, self.length))
+
     def apply(self, read, slot, slots):
         return F.when(_length(read) < self.length, read).otherwise(cut(read, F.lit(0), F.lit(self.length)))
 
 
 @dataclass
-class SlidingWindow(ColumnStep):
+class SlidingWindow(ColumnStep, BatchStep):
     """Cut where the mean quality of a window falls below the threshold, then low bases off the new end.
 
     Reads shorter than the window and reads whose first window is low are dropped; at least one base stays.
@@ -152,65 +180,101 @@ class SlidingWindow(ColumnStep):
     window: int
     quality: float
 
+    def narrow(self, b, slot, slots):
+        w, least = self.window, np.float32(np.float32(self.quality) * np.float32(self.window))
+        b.drop(b.n < w)
+        b.narrow(b.start, b.n)
+        if b.width < w:
+            return
+        at = np.arange(b.width - w + 1)
+        low = (b.sums[:, w:] - b.sums[:, :-w]) < least
+        first, there = first_true(low & (at >= b.start[:, None]) & (at + w <= b.end[:, None]))
+        b.drop(there & (first == b.start))
+        b.narrow(b.start, np.where(there, first - b.start + w - 1, b.n))
+        last, good = last_true(b.inside & (b.q >= np.float32(self.quality)))
+        b.narrow(b.start, np.where(good, last + 1 - b.start, 1))
+
     def apply(self, read, slot, slots):
         w = self.window
-        least = float(np.float32(np.float32(self.quality) * np.float32(w)))
+        # sums are integers: below a limit is below the next integer up
+        least = int(np.ceil(float(np.float32(np.float32(self.quality) * np.float32(w)))))
         n = _length(read)
 
         def place(q: Column) -> Column:
-            total = lambda i: sum((F.get(q, i + j) for j in range(1, w)), F.get(q, i + 0))
-            low = F.transform(F.sequence(F.lit(0), n - w), lambda i: total(i).cast("double") < least)
-            return F.array_position(low, True)
-
-        # one-element arrays bind a value once, however often the lambda names it
-        first = F.get(F.transform(F.array(quality_values(read)), place), F.lit(0)).cast("int")
-        kept = F.when(first == 0, n).otherwise(first + w - 2)
-
-        def shorten(k: Column) -> Column:
-            good = F.length(F.rtrim(F.substring(masked_quality(read), F.lit(1), k), below(read, int(np.ceil(self.quality)))))
-            left = F.greatest(F.lit(1), good)
-            return F.when(left < n, cut(read, F.lit(0), left)).otherwise(read)
-
-        # a low first window (place 1) drops the read
-        done = F.get(F.transform(F.array(F.struct(first.alias("f"), kept.alias("k"))), lambda s: F.when(s["f"] != 1, shorten(s["k"]))), F.lit(0))
+            total = lambda i: sum((F.get(q, i + j) for j in range(1, w)), F.get(q, i))
+            low = F.transform(F.sequence(F.lit(0), n - w), lambda i: total(i) < least)
+            return F.array_position(low, True).cast("int")
+
+        def shorten(kept: Column) -> Column:
+            # places from the end of what the windows left; at least one base stays
+            start = F.reverse(F.substring(masked_quality(read), F.lit(1), kept))
+            bad = let(first_good(start, read, int(np.ceil(self.quality))), lambda p: F.when(p == 0, kept - 1).otherwise(p - 1))
+            return let(kept - bad, lambda left: F.when(left < n, cut(read, F.lit(0), left)).otherwise(read))
+
+        # place 1 is a low first window, which drops the read
+        done = let(let(quality_values(read), place), lambda f: F.when(f != 1, let(F.when(f == 0, n).otherwise(f + w - 2), shorten)))
         return F.when(n >= w, done)
 
 
 @dataclass
-class MinLength(ColumnStep):
+class MinLength(ColumnStep, BatchStep):
     length: int
 
+    light = True
+
+    def narrow(self, b, slot, slots):
+        b.drop(b.n < self.length)
+        b.narrow(b.start, b.n)
+
     def apply(self, read, slot, slots):
         return F.when(_length(read) >= self.length, read)
 
 
 @dataclass
-class MaxLength(ColumnStep):
+class MaxLength(ColumnStep, BatchStep):
     length: int
 
+    light = True
+
+    def narrow(self, b, slot, slots):
+        b.drop(b.n > self.length)
+        b.narrow(b.start, b.n)
+
     def apply(self, read, slot, slots):
         return F.when(_length(read) <= self.length, read)
 
 
 @dataclass
-class AverageQuality(ColumnStep):
+class AverageQuality(ColumnStep, BatchStep):
     """Keep reads of at least this mean quality; the empty read stays."""
 
     quality: int
 
+    def narrow(self, b, slot, slots):
+        r = np.arange(b.rows)
+        b.drop(b.sums[r, b.end] - b.sums[r, b.start] < self.quality * b.n)
+        b.narrow(b.start, b.n)
+
     def apply(self, read, slot, slots):
         total = F.aggregate(quality_values(read), F.lit(0).cast("long"), lambda a, q: a + q)
         return F.when(total >= F.lit(self.quality) * _length(read), read)
 
 
 @dataclass
-class BaseCount(ColumnStep):
+class BaseCount(ColumnStep, BatchStep):
     """Keep reads in which the given characters occur at least and at most so often."""
 
     bases: str
     least: int = 0
     most: int | None = None
 
+    light = True
+
+    def narrow(self, b, slot, slots):
+        count = (b.inside & np.isin(b.chars, [ord(c) for c in self.bases])).sum(axis=1)
+        b.drop((count < self.least) | (count > (UNBOUNDED if self.most is None else self.most)))
+        b.narrow(b.start, b.n)
+
     def apply(self, read, slot, slots):
         n = _length(read) - F.length(F.translate(read["sequence"], self.bases, ""))
         fits = n >= self.least
@@ -218,18 +282,24 @@ class BaseCount(ColumnStep):
 
 
 @dataclass
-class ToPhred(ColumnStep):
+class ToPhred(ColumnStep, BatchStep):
     """Re-encode qualities with the other offset."""
 
     offset: int
 
+    light = True
+
+    def narrow(self, b, slot, slots):
+        # the quality values stay; the text is shifted when the chain ends
+        b.offset = np.full(b.rows, self.offset, np.int32)
+
     def apply(self, read, slot, slots):
         by = -SHIFT if self.offset == 33 else SHIFT
         return F.when(read["phred_offset"] == self.offset, read).otherwise(recoded(read, shifted(read["quality"], by), self.offset))
 
 
 @dataclass
-class MaxInfo(ArrowStep):
+class MaxInfo(BatchStep):
     """Cut where the balance of length and error rate is best; 64-bit fixed-point scores that wrap around."""
 
     target: int
@@ -264,70 +334,23 @@ class MaxInfo(ArrowStep):
 
         self.tables = fixed(by_length), fixed(by_quality)
 
-    def keep(self, first, second):
-        return self._one(first), None if second is None else self._one(second)
-
-    def _one(self, reads: pd.DataFrame) -> np.ndarray:
-        q, n = quality_matrix(reads)
-        if n.max(initial=0) > self.LONGEST:
+    def narrow(self, b, slot, slots):
+        if b.n[b.alive].max(initial=0) > self.LONGEST:
             raise ValueError(f"MAXINFO takes reads of at most {self.LONGEST} bases")
-        if not q.shape[1]:
-            return np.full(len(n), -1)
+        q = b.aligned(b.q)
+        w = q.shape[1]
+        if not w:
+            b.drop(b.n == 0)
+            return
         by_length, by_quality = self.tables
         with np.errstate(over="ignore"):
-            scores = by_length[: q.shape[1]] + np.cumsum(by_quality[np.clip(q, 0, self.HIGHEST)], axis=1, dtype=np.int64)
-        inside = np.arange(q.shape[1]) < n[:, None]
-        # scores are compared as doubles, so near ties count as ties
-        scores = np.where(inside, scores.astype(np.float64), -np.inf)
+            scores = by_length[:w] + np.cumsum(by_quality[np.clip(q, 0, self.HIGHEST)], axis=1, dtype=np.int64)
+        # scores are compared as doubles, so near ties count as ties; the last of equal maxima counts
+        scores = np.where(np.arange(w) < b.n[:, None], scores.astype(np.float64), -np.inf)
         best = scores.max(axis=1)
-        # the last of equal maxima
-        place = q.shape[1] - np.argmax((scores == best[:, None])[:, ::-1] & inside[:, ::-1], axis=1)
-        return np.where((n == 0) | (best == 0), -1, np.minimum(place, n))
-
-
-def quality_matrix(reads: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Qualities as integers in rows padded with 0 (also under N), and the lengths; a missing read has length 0."""
-    seq, n = letters(reads["sequence"])
-    qual, _ = letters(reads["quality"], seq.shape[1])
-    offset = reads["phred_offset"].fillna(33).to_numpy(np.int64)
-    q = qual.astype(np.int64) - offset[:, None]
-    q[(seq == ord("N")) | (np.arange(seq.shape[1]) >= n[:, None])] = 0
-    return q, n
-
-
-def letters(column: pd.Series, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Character codes in rows padded with 0, and the lengths; null is the empty text."""
-    texts = [t if isinstance(t, str) else "" for t in column]
-    n = np.fromiter(map(len, texts), np.int64, len(texts))
-    w = int(n.max(initial=0)) if width is None else width
-    if not len(texts) or not w:
-        return np.zeros((len(texts), w), np.uint32), n
-    flat = np.frombuffer("".join(t[:w] for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    out = np.zeros((len(texts), w), np.uint32)
-    out[np.arange(w) < np.minimum(n, w)[:, None]] = flat
-    return out, n
-
-
-def arrow_keep(step: ArrowStep, pair: bool) -> Callable:
-    """The pandas UDF of an Arrow step: (seq, qual, offset) of one or two reads to the bases to keep of each."""
-    from pyspark.sql import types as T
-
-    kind = T.StructType([T.StructField("k1", T.IntegerType()), T.StructField("k2", T.IntegerType())])
-
-    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        names = ["sequence", "quality", "phred_offset"]
-        for cols in batches:
-            first = pd.DataFrame(dict(zip(names, cols[:3])))
-            second = pd.DataFrame(dict(zip(names, cols[3:]))) if pair else None
-            parts = []
-            for at in range(0, len(first), ROWS):
-                k1, k2 = step.keep(first[at : at + ROWS].reset_index(drop=True), None if second is None else second[at : at + ROWS].reset_index(drop=True))
-                parts.append(pd.DataFrame({"k1": np.asarray(k1, np.int32), "k2": np.asarray(k1 if k2 is None else k2, np.int32)}))
-            yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"k1": np.zeros(0, np.int32), "k2": np.zeros(0, np.int32)})
-
-    # the iterator form, told by its type hints, keeps a step's tables for all batches of a task
-    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.DataFrame]}
-    return F.pandas_udf(run, kind)
+        last, _ = last_true((scores == best[:, None]) & (np.arange(w) < b.n[:, None]))
+        b.drop((b.n == 0) | (best == 0))
+        b.narrow(b.start, np.minimum(last + 1, b.n))
 
 
 register("LEADING", lambda a: Leading(int(a)))

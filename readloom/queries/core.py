@@ -19,7 +19,7 @@ from readloom.operators.stats import paired_stats, single_stats, trim_log
 from readloom.operators.steps import MaxInfo
 from readloom.plans.chain import trim_paired, trim_single
 from readloom.schema import paired, read_struct, single
-from readloom.session import broadcast_if_small, scratch_dir, table
+from readloom.session import broadcast_if_small, scratch_dir, spread, table
 from readloom.sources.fastq import phred_histogram, read_fastq, write_fastq
 from readloom.streaming import read_stream, run_available, running_stats, trim_stream
 
@@ -27,7 +27,8 @@ from readloom.streaming import read_stream, run_available, running_stats, trim_s
 def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(ordinal, r1)`` of fastq_reads, redelivered rows included; where the offset is null, that of the run."""
     runs = table(spark, sf_dir, "runs").select(F.col("run_id").alias("of"), F.col("phred_offset").alias("run_offset"))
-    rows = table(spark, sf_dir, "fastq_reads").join(broadcast_if_small(runs, 80), F.col("run_id") == F.col("of"), "left")
+    cols = ["ordinal", "run_id", "name", "sequence", "comment", "quality", "barcode_label", "phred_offset", "head_pos"]
+    rows = spread(table(spark, sf_dir, "fastq_reads").select(*cols)).join(broadcast_if_small(runs, 80), F.col("run_id") == F.col("of"), "left")
     offset = F.coalesce("phred_offset", "run_offset")
     read = read_struct(F.col("name"), F.col("sequence"), F.col("comment"), F.col("quality"), offset, F.col("barcode_label"), F.col("head_pos"))
     return rows.select("ordinal", read.alias("r1")).where("r1 IS NOT NULL")

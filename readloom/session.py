@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: Most bytes (estimated from counted rows) that a side may have to be broadcast.
 BROADCAST_BYTES = 32 << 20
 
+#: Estimated bytes below which an input is spread over all cores.
+SMALL_BYTES = 1 << 30
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -68,6 +71,15 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, rows: int | None = None, l
     return F.broadcast(df) if n * row_bytes <= limit else df
 
 
+def spread(df: DataFrame, small: int = SMALL_BYTES) -> DataFrame:
+    """Give a small input to all cores: a single file of a few row groups is otherwise one task.
+
+    Inputs that the optimizer estimates at ``small`` bytes or more have splits enough and are left as they are.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < small else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

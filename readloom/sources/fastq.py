@@ -135,7 +135,7 @@ def detect_phred(records: DataFrame) -> int:
     """33 or 64; raises if the first records do not tell."""
     found = phred_histogram(records).first()["phred"]
     if not found:
-        raise FastqError("Unable to detect quality encoding; give the offset")
+        raise FastqError("the first records do not tell the quality encoding; give the offset")
     return found
 
 

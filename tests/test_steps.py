@@ -7,7 +7,10 @@ from tests.helpers import outcome, pairs, singles
 
 
 def one(spark, step, sequence, quality, offset=33):
-    return outcome(trim_single(singles(spark, (sequence, quality), offset=offset), [step]))[0]
+    """The outcome, which both forms of a step agree on."""
+    got = [outcome(trim_single(singles(spark, (sequence, quality), offset=offset), [step], engine))[0] for engine in ("arrow", "jvm")]
+    assert got[0] == got[1]
+    return got[0]
 
 
 @pytest.mark.parametrize(
@@ -75,14 +78,27 @@ def test_slots(spark):
 
 def test_twelve_steps_stay_linear(spark):
     steps = ["LEADING:3", "TRAILING:3", "SLIDINGWINDOW:4:15"] * 4
-    df = trim_single(singles(spark, ("ACGTACGTAC", "I")), steps)
+    df = trim_single(singles(spark, ("ACGTACGTAC", "I")), steps, "jvm")
     plan = df._jdf.queryExecution().optimizedPlan().toString()
-    short = trim_single(singles(spark, ("ACGTACGTAC", "I")), steps[:3])._jdf.queryExecution().optimizedPlan().toString()
+    short = trim_single(singles(spark, ("ACGTACGTAC", "I")), steps[:3], "jvm")._jdf.queryExecution().optimizedPlan().toString()
     assert len(plan) < 6 * len(short)
     assert outcome(df) == [("ACGTACGTAC", "I" * 10, 0)]
     assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_forms_agree_on_random_chains(spark):
+    rng = np.random.default_rng(5)
+    data = []
+    for _ in range(150):
+        n = int(rng.integers(0, 90))
+        data.append(("".join(rng.choice(list("ACGTNacg"), n)), "".join(chr(33 + int(x)) for x in np.clip(rng.normal(25, 14, n), 0, 41))))
+    pool = ["LEADING:12", "TRAILING:12", "SLIDINGWINDOW:4:18", "SLIDINGWINDOW:5:20.5", "HEADCROP:2:70", "TAILCROP:1", "CROP:60", "MINLEN:12", "MAXLEN:80", "AVGQUAL:22", "BASECOUNT:GCN:2:40", "TOPHRED64", "TOPHRED33"]
+    for _ in range(4):
+        steps = [str(x) for x in rng.choice(pool, 5)]
+        got = [[None if r["r1"] is None else tuple(r["r1"]) for r in trim_single(singles(spark, *data), steps, engine).orderBy("ordinal").collect()] for engine in ("arrow", "jvm")]
+        assert got[0] == got[1]
+
+
 def test_unknown_and_registered():
     for bad in ("NOPE:1", "leading:3", ":3"):
         with pytest.raises(ValueError):
