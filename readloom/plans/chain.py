@@ -51,7 +51,8 @@ def _kept_parts(steps: list[BatchStep]):
         return pa.concat_arrays(out) if out else pa.array([], _KEPT_ARROW)
 
     run.__annotations__ = {"columns": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, _KEPT)
+    # not pushed below filters on its result, which would run the chain once for the filter and once for the reads
+    return F.arrow_udf(run, _KEPT).asNondeterministic()
 
 
 def _batch_steps(df: DataFrame, steps: list[BatchStep], slots: int) -> DataFrame:
