@@ -1,4 +1,4 @@
-"""Near-duplicate sequences by PartEnum signatures over sets of k-mers."""
+"""Near-duplicate sequences by a prefix filter over sets of k-mers."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readloom.functions.sequence import content_key
@@ -14,13 +14,16 @@ from readloom.llm.kmers import encode, mix, windows
 from readloom.session import broadcast_if_small, materialize
 
 K = 12
-PART_BASES = 6  # 4**6 parts of the domain of k-mers
-LEAST_SHARED = 2  # parts that must agree: the size of the enumerated subsets
-HOT = 256  # sets under one signature beyond which its pairs are not listed
-
-SIGNATURE = pa.schema([("sig", pa.int64()), ("rep", pa.int64()), ("mass", pa.int32()), ("size", pa.int32())])
-PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("mass", pa.int32()), ("size", pa.int32())])
-SIGNATURE_SQL, PAIR_SQL = "sig long, rep long, mass int, size int", "a long, b long, mass int, size int"
+LEAST_COMMON = 3  # common k-mers that are asked for among the rarest of two sets
+HOT = 1 << 18  # most frequent k-mers of the sample that are told apart; the order changes the cost, never the result
+SAMPLE = 50_000  # texts in which k-mers are counted for this order
+SLOT_BITS = 24
+BUCKET_ROWS = 1_000_000  # rows that a task pairs at a time
+
+KMERS = pa.schema([("bucket", pa.int32()), ("sig", pa.binary()), ("rep", pa.binary()), ("rank", pa.binary()), ("size", pa.binary())])
+MET = pa.schema([("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
+PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+KMERS_SQL, MET_SQL, PAIR_SQL = "bucket int, sig binary, rep binary, rank binary, size binary", "bucket int, a binary, b binary", "a long, b long"
 TILE = 1024  # sets of a large group that are paired with each other at a time
 
 
@@ -29,70 +32,117 @@ def classes(df: DataFrame, key: str, text: Column) -> DataFrame:
     return df.select(F.col(key).alias("k"), text.alias("seq")).where("seq IS NOT NULL").groupBy("seq").agg(F.min("k").alias("rep")).select("rep", "seq")
 
 
-def _sets(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, part, k-mer) of all distinct k-mers of each text in this order, and the sizes of the sets."""
-    codes, start, length = encode(texts)
+def _sets(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, k-mer) of all distinct k-mers of each text in this order, and the sizes of the sets."""
+    codes, _, length = encode(texts)
     kmer, whole = windows(codes, k)
-    sizes = np.zeros(len(texts), np.int64)
-    if not len(kmer):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), sizes
-    # a part of the domain: all k-mers with the same least short substring, in a random order of these
-    order = np.random.default_rng(12).permutation(4**PART_BASES).astype(np.uint16)
-    short = order[windows(codes, PART_BASES)[0]]
-    n = len(kmer)
-    part = short[:n].copy()
-    for i in range(1, k - PART_BASES + 1):
-        np.minimum(part, short[i : i + n], out=part)
     at = np.flatnonzero(whole)
     row = np.repeat(np.arange(len(texts)), length + 1)[at]
-    packed = (row.astype(np.uint64) << np.uint64(2 * k + 2 * PART_BASES)) | (part[at].astype(np.uint64) << np.uint64(2 * k)) | kmer[at].astype(np.uint64)
+    packed = (row.astype(np.uint64) << np.uint64(2 * k)) | kmer[at].astype(np.uint64)
     packed.sort()
     if len(packed):
         packed = packed[np.append(True, packed[1:] != packed[:-1])]
-    row = (packed >> np.uint64(2 * k + 2 * PART_BASES)).astype(np.int64)
-    part = ((packed >> np.uint64(2 * k)) & np.uint64(4**PART_BASES - 1)).astype(np.int64)
-    sizes += np.bincount(row, minlength=len(texts))
-    return row, part, packed & np.uint64(4**k - 1), sizes
+    row = (packed >> np.uint64(2 * k)).astype(np.int64)
+    return row, packed & np.uint64(4**k - 1), np.bincount(row, minlength=len(texts))
+
+
+def _scramble(kmer: np.ndarray, k: int) -> np.ndarray:
+    """Another k-mer for each, one to one, so that neighbours in the alphabet are far apart."""
+    x = kmer ^ (kmer >> np.uint64(k))
+    x = (x * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(4**k - 1)
+    return x ^ (x >> np.uint64(k))
+
+
+def _overlap(sizes: np.ndarray, gamma: float) -> np.ndarray:
+    """Common k-mers that two sets of together ``sizes`` need for the similarity ``gamma``."""
+    return np.ceil(gamma / (1 + gamma) * sizes - 1e-9).astype(np.int64)
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    """Integers as their least value, a width and the differences to it in that many bytes."""
+    base = x.min()
+    y = (x - base).astype(np.uint64)
+    width = next(w for w in (1, 2, 4, 8) if int(y.max()) < 256**w)
+    return np.int64(base).tobytes() + bytes([width]) + y.astype(f"<u{width}").tobytes()
+
 
+def _wide(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, f"<u{packed[8]}", offset=9).astype(np.int64) + np.frombuffer(packed, np.int64, 1)[0]
+
+
+def _packed(bucket: np.ndarray, columns: list[np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
+    """One row for each run of ``bucket``; the first column, which rises within it, as differences."""
+    start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    ends = np.append(start[1:], len(bucket))
+    cells = [[_narrow(np.diff(x[i:j], prepend=0) if c == 0 else x[i:j]) for i, j in zip(start, ends)] for c, x in enumerate(columns)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[start].astype(np.int32)), *(pa.array(x, pa.binary()) for x in cells)], schema=schema)
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of each bucket as a whole, from packed rows sorted by bucket."""
+    of, held = None, []
+    for batch in batches:
+        rows = zip(batch.column(0).to_pylist(), *(c.to_pylist() for c in batch.columns[1:]))
+        for bucket, first, *rest in rows:
+            if bucket != of and held:
+                yield [np.concatenate(x) for x in zip(*held)]
+                held = []
+            of = bucket
+            held.append([np.cumsum(_wide(first)), *map(_wide, rest)])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+def _frequent(k: int, hot: int):
+    """Over a sample: one row of the ``hot`` most frequent slots of k-mers and a level for each, a higher one for more texts."""
 
-def _part_signatures(k: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(1 << SLOT_BITS, np.int64)
         for batch in batches:
-            texts = batch.column("seq").to_pylist()
-            reps = batch.column("rep").to_numpy()
-            row, part, kmer, sizes = _sets(texts, k)
-            on = sizes[row] >= least
-            row, part, kmer = row[on], part[on], kmer[on]
-            if not len(row):
-                continue
-            ix = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (part[1:] != part[:-1])))
-            content = np.add.reduceat(mix(kmer + np.uint64(1)), ix)
-            mass = np.diff(np.append(ix, len(row)))
-            r = row[ix]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(mix(content ^ part[ix].astype(np.uint64)).view(np.int64)), pa.array(reps[r]), pa.array(mass.astype(np.int32)), pa.array(sizes[r].astype(np.int32))], schema=SIGNATURE
-            )
+            _, kmer, _ = _sets(batch.column("seq").to_pylist(), k)
+            slot, n = np.unique(_scramble(kmer, k) & np.uint64((1 << SLOT_BITS) - 1), return_counts=True)
+            count[slot.astype(np.int64)] += n
+        seen = np.flatnonzero(count > 1)
+        if len(seen) > hot:
+            seen = seen[np.argpartition(count[seen], -hot)[-hot:]]
+        level = np.minimum(255, 8 * np.log2(count[seen])).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([seen.astype(np.uint32).tobytes()]), pa.array([level.tobytes()])], names=["slot", "level"])
 
     return run
 
 
-def _kmer_signatures(k: int):
-    """The finest partition: every k-mer is its own part."""
+def _rarest(k: int, gamma: float, least: int, common: int, buckets: int, frequent):
+    """The k-mers of each set that a similar one must share ``common`` of, with their rank by rarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = np.zeros(1 << SLOT_BITS, np.uint8)
+        slot, value = frequent.value
+        level[np.frombuffer(slot, np.uint32)] = np.frombuffer(value, np.uint8)
+        bits, mask = np.uint64(2 * k), np.uint64(4**k - 1)
         for batch in batches:
             reps = batch.column("rep").to_numpy()
-            row, _, kmer, sizes = _sets(batch.column("seq").to_pylist(), k)
-            if len(row):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(mix(kmer + np.uint64(77)).view(np.int64)), pa.array(reps[row]), pa.array(np.ones(len(row), np.int32)), pa.array(sizes[row].astype(np.int32))], schema=SIGNATURE
-                )
+            row, kmer, sizes = _sets(batch.column("seq").to_pylist(), k)
+            on = sizes[row] >= least
+            row, sig = row[on].astype(np.uint64), _scramble(kmer[on], k)
+            if not len(row):
+                continue
+            order = (row << (bits + np.uint64(8))) | (level[sig & np.uint64((1 << SLOT_BITS) - 1)].astype(np.uint64) << bits) | sig
+            order.sort()
+            row = (order >> (bits + np.uint64(8))).astype(np.int64)
+            start = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            rank = np.arange(len(row)) - np.repeat(start, np.diff(np.append(start, len(row)))) + 1
+            size = sizes[row]
+            # the least overlap is that with the smallest set that may be similar
+            on = rank <= size - _overlap(size + np.maximum(least, np.ceil(gamma * size - 1e-9)), gamma) + common
+            sig, row, rank, size = (order[on] & mask).astype(np.int64), row[on], rank[on], size[on]
+            by = np.argsort(((sig % buckets) << np.int64(2 * k)) | sig)
+            yield _packed(sig[by] % buckets, [sig[by], reps[row[by]], rank[by], size[by]], KMERS)
 
     return run
 
 
-def _group_pairs(sig: np.ndarray, rep: np.ndarray, mass: np.ndarray, size: np.ndarray, gamma: float) -> Iterator[pa.RecordBatch]:
-    """All pairs within each run of equal signatures whose sizes allow the similarity, in bounded pieces."""
+def _group_pairs(sig: np.ndarray, rep: np.ndarray, rank: np.ndarray, size: np.ndarray, gamma: float, common: int = LEAST_COMMON) -> Iterator[pa.RecordBatch]:
+    """All pairs within each run of equal k-mers whose sizes and ranks allow the similarity, in bounded pieces."""
     if not len(sig):
         return
     start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
@@ -109,8 +159,12 @@ def _group_pairs(sig: np.ndarray, rep: np.ndarray, mass: np.ndarray, size: np.nd
             # the size bands: sets whose sizes differ by more than the factor gamma cannot be similar
             fit = (rep[x] != rep[y]) & (np.minimum(size[x], size[y]) >= gamma * np.maximum(size[x], size[y]))
             x, y = x[fit], y[fit]
+            # of an overlap of c, the ``common`` rarest stand among the first size - c + common of both sets
+            c = _overlap(size[x].astype(np.int64) + size[y], gamma) - common
+            fit = (rank[x] <= size[x] - c) & (rank[y] <= size[y] - c)
+            x, y = x[fit], y[fit]
             if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[x], rep[y])), pa.array(np.maximum(rep[x], rep[y])), pa.array(mass[x]), pa.array(size[x])], schema=PAIR)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[x], rep[y])), pa.array(np.maximum(rep[x], rep[y]))], schema=PAIR)
 
 
 def _tiles(starts: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -122,48 +176,41 @@ def _tiles(starts: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]
                 yield s + x[above], s + y[above]
 
 
-def _pairs_or_hot(gamma: float, hot: int):
-    """Over rows sorted by signature: the pairs of groups of up to ``hot`` sets; of larger groups (a, null, mass) for each set.
-
-    At most ``hot`` rows of an unfinished group are held; once a group is larger, its rows pass through.
-    """
+def _meet(gamma: float, common: int, buckets: int):
+    """The pairs (a, b) that meet in each k-mer, in buckets by ``a``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        hot_sig: int | None = None
+        def out(pieces: list[pa.RecordBatch]) -> pa.RecordBatch:
+            a, b = (np.concatenate([p.column(c).to_numpy() for p in pieces]) for c in (0, 1))
+            bucket = (mix(a.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            by = np.lexsort((b, a, bucket))
+            return _packed(bucket[by], [a[by], b[by]], MET)
+
+        for columns in _by_bucket(batches):
+            by = np.argsort(columns[0])
+            pieces, n = [], 0
+            for piece in _group_pairs(*(x[by] for x in columns), gamma, common):
+                pieces.append(piece)
+                n += piece.num_rows
+                if n > BUCKET_ROWS:
+                    yield out(pieces)
+                    pieces, n = [], 0
+            if pieces:
+                yield out(pieces)
 
-        def flagged(part: list[np.ndarray]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(part[1]), pa.nulls(len(part[1]), pa.int64()), pa.array(part[2]), pa.array(part[3])], schema=PAIR)
+    return run
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = [batch.column(c).to_numpy() for c in ("sig", "rep", "mass", "size")]
-            if hot_sig is not None:
-                goes_on = int(np.searchsorted(now[0] != hot_sig, True))
-                if goes_on:
-                    yield flagged([x[:goes_on] for x in now])
-                    now = [x[goes_on:] for x in now]
-                if not len(now[0]):
-                    continue
-                hot_sig = None
-            if held is not None:
-                now = [np.concatenate(z) for z in zip(held, now)]
-            start = np.flatnonzero(np.append(True, now[0][1:] != now[0][:-1]))
-            count = np.diff(np.append(start, len(now[0])))
-            large = np.repeat(count > hot, count)
-            if large.any():
-                yield flagged([x[large] for x in now])
-            if count[-1] > hot:
-                hot_sig, held = int(now[0][-1]), None
-                done = ~large
-            else:
-                done = ~large
-                done[start[-1] :] = False
-                held = [x[start[-1] :] for x in now]
-            yield from _group_pairs(*[x[done] for x in now], gamma)
-        if held is not None:
-            yield from _group_pairs(*held, gamma)
+
+def _often(common: int):
+    """The pairs that met in ``common`` k-mers or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, b in _by_bucket(batches):
+            by = np.lexsort((b, a))
+            a, b = a[by], b[by]
+            start = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+            at = start[np.diff(np.append(start, len(a))) >= common]
+            yield pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at])], schema=PAIR)
 
     return run
 
@@ -176,7 +223,7 @@ def _verify(k: int, gamma: float):
             n = batch.num_rows
             if not n:
                 continue
-            row, _, kmer, sizes = _sets(batch.column("seq_a").to_pylist() + batch.column("seq_b").to_pylist(), k)
+            row, kmer, sizes = _sets(batch.column("seq_a").to_pylist() + batch.column("seq_b").to_pylist(), k)
             both = np.sort(((row % n).astype(np.uint64) << np.uint64(2 * k)) | kmer)
             twice = both[1:][both[1:] == both[:-1]]
             common = np.bincount((twice >> np.uint64(2 * k)).astype(np.int64), minlength=n)
@@ -192,28 +239,22 @@ def similar_classes(texts: DataFrame, gamma: float = 0.5, least: int = 20, k: in
 
     See ``near_duplicates``. ``texts`` should be materialized: it is read several times.
     """
-    rows = texts.mapInArrow(_part_signatures(k, least), SIGNATURE_SQL)
-    seen = materialize(rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(_pairs_or_hot(gamma, hot), PAIR_SQL), "part-pairs")
-    pairs = seen.where("b IS NOT NULL").groupBy("a", "b").agg(F.count(F.lit(1)).alias("parts")).where(F.col("parts") >= LEAST_SHARED).select("a", "b")
-    # sets of which hot parts hold so much that another may be similar to them by little else
-    hot_sets = materialize(seen.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("mass").alias("m"), F.max("size").alias("size")).where(F.col("m") >= F.lit(gamma / 2) * F.col("size")).select("rep"), "hot-sets")
-    if n := hot_sets.count():
-        rest = texts.join(broadcast_if_small(hot_sets, 64, n), "rep", "left_semi")
-        fine = materialize(rest.mapInArrow(_kmer_signatures(k), SIGNATURE_SQL), "kmers")
-        # an overlap of gamma x size leaves a common k-mer among the size - gamma x size + 1 rarest of each set
-        spread = fine.groupBy("sig").agg(F.count(F.lit(1)).alias("spread"))
-        rank = F.row_number().over(Window.partitionBy("rep").orderBy("spread", "sig"))
-        first = fine.join(spread, "sig").withColumn("rank", rank).where(F.col("rank") <= F.col("size") - F.ceil(F.lit(gamma) * F.col("size")) + 1)
-        met = first.select("sig", "rep", "mass", "size").repartition("sig").sortWithinPartitions("sig").mapInArrow(_pairs_or_hot(gamma, 2**31 - 1), PAIR_SQL)
-        pairs = pairs.unionByName(met.select("a", "b")).distinct()
-    pairs = materialize(pairs, "candidates")
+    sc = texts.sparkSession.sparkContext
+    n = texts.count()
+    sample = texts.where(F.pmod(F.xxhash64("seq"), F.lit(n // SAMPLE + 1)) == 0).select("seq").repartition(1)
+    frequent = sc.broadcast(tuple(map(bytes, sample.mapInArrow(_frequent(k, hot), "slot binary, level binary").first() or (b"", b""))))
+    least = max(1, least)
+    common = max(1, min(LEAST_COMMON, int(_overlap(np.array(2 * least), gamma))))
+    buckets = max(sc.defaultParallelism, n * 45 // BUCKET_ROWS)
+    rows = texts.mapInArrow(_rarest(k, gamma, least, common, buckets, frequent), KMERS_SQL)
+    met = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(gamma, common, 2 * buckets), MET_SQL)
+    pairs = materialize(met.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_often(common), PAIR_SQL), "candidates")
     met = materialize(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "met")
     seqs = materialize(texts.join(broadcast_if_small(met, 64), "rep", "left_semi"), "met-texts")
     left, right = seqs.select(F.col("rep").alias("a"), F.col("seq").alias("seq_a")), seqs.select(F.col("rep").alias("b"), F.col("seq").alias("seq_b"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "seq_a", "seq_b").mapInArrow(_verify(k, gamma), "a long, b long, similarity double")
 
 
-
 def near_duplicates(df: DataFrame, key: str, text: Column, gamma: float = 0.5, least: int = 20, k: int = K, hot: int = HOT) -> DataFrame:
     """Pairs ``(key_a, key_b, similarity)``, the smaller key first, of rows whose texts differ but are similar.
 
@@ -222,19 +263,15 @@ def near_duplicates(df: DataFrame, key: str, text: Column, gamma: float = 0.5, l
     out. A key that occurs in several rows with one text counts once; rows with a null key are
     left out. Empty tables and empty texts give no rows; other columns are not read.
 
-    Method: PartEnum signatures over the distinct texts. The domain of k-mers is cut into
-    4**6 parts, a k-mer belonging to the part of its least 6-base substring in a fixed random
-    order, so that the differences an edit makes fall into few parts. A signature is one part
-    with a hash of all k-mers that the set has in it; a pair that agrees in ``LEAST_SHARED``
-    parts shares a subset of parts of that size. The subsets are counted per pair where
-    signatures meet instead of being written out. Sizes outside each other's band
-    (factor ``gamma``) are dropped there, and the rest is verified on the whole sets.
-
-    Parts that more than ``hot`` different texts hold alike (adapters, tails) list no pairs.
-    Sets of which such parts hold at least gamma / 2 meet again by the finest partition (each
-    k-mer its own part): an overlap that suffices has a k-mer among the rarest of each set,
-    so that adapters and tails bring only sets together that hardly hold anything else. Copies of a text are one class and are expanded only
-    into the resulting pairs.
+    Method: a prefix filter over the distinct texts, exact for every set. Sets of sizes m and n
+    that are similar share c = ceil(gamma / (1 + gamma) * (m + n)) k-mers or more, so in any order
+    of all k-mers the ``LEAST_COMMON`` first of these stand among the first m - c + ``LEAST_COMMON``
+    of the one and n - c + ``LEAST_COMMON`` of the other. Only those k-mers meet, and only pairs
+    that meet so often are verified on the whole sets. The order puts the k-mers that a
+    sample holds most often (the ``hot`` most frequent) last, so that adapters and tails bring only sets
+    together that hardly hold anything else; it changes the cost, not the pairs. Sizes outside each other's
+    band (factor ``gamma``) are dropped where k-mers meet. Copies of a text are one class and are
+    expanded only into the resulting pairs.
     """
     texts = materialize(classes(df.where(F.col(key).isNotNull()), key, text), "classes")
     found = materialize(similar_classes(texts, gamma, least, k, hot), "similar")

@@ -91,3 +91,16 @@ def test_large_group_in_tiles():
     same = np.zeros(n, np.int64)
     pairs = [b for b in _group_pairs(same, np.arange(n), np.ones(n, np.int32), np.full(n, 30, np.int32), 0.5)]
     assert sum(b.num_rows for b in pairs) == n * (n - 1) // 2
+
+
+def test_partly_hot_reads(spark):
+    """An adapter over 256 texts hold alike counts for pairs of which one set has little of it."""
+    adapter, rows = "CTAGGACTTCAGGATTCGCAACTGATCCGTAAGC", []
+    rnd = random.Random(3)
+    for _ in range(1100):
+        insert = "".join(rnd.choices("ACGT", k=rnd.randint(8, 40)))
+        for _ in range(2):
+            rows.append((len(rows), (edited(rnd, insert, rnd.randint(0, 3)) + adapter + "G" * 30)[:36]))
+    want = brute(rows)
+    assert len(want) > 500
+    assert run(spark, rows) == want
