@@ -104,3 +104,17 @@ def test_partly_hot_reads(spark):
     want = brute(rows)
     assert len(want) > 500
     assert run(spark, rows) == want
+
+
+def test_short_reads(spark):
+    """Reads of 31 to 36 bases fall into few parts of any kind: cut ends and edits leave hardly a whole one."""
+    rnd, rows = random.Random(4), []
+    for _ in range(700):
+        n = rnd.choice((31, 33, 36))
+        base = "".join(rnd.choices("ACGT", k=n + 12))
+        i = rnd.randint(0, 10)
+        rows.append((len(rows), base[:n]))
+        rows.append((len(rows), edited(rnd, base, rnd.randint(1, 3))[:n] if rnd.random() < 0.5 else base[i : i + n]))
+    want = brute(rows)
+    assert len(want) > 200
+    assert run(spark, rows) == want
