@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from readloom.session import broadcast_if_small, materialize
 
 PHRASE = 12
+SEEDED = 0.5  # share of the words needed that must be among the rarest; changes the cost, not the result
 VOCABULARY_BYTES = 16 << 20  # most bytes of test terms that are handed to every task
 
 _TAGS = re.compile(r"<[^<>]*>|\[/?[a-z]+\]|\[[a-z]+=[^\]]*\]")
@@ -71,13 +72,18 @@ def build_index(df: DataFrame, key: str, text: str, vocabulary: DataFrame | None
     return rows.mapInArrow(_postings(held), schema)
 
 
-def _search(corpus: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, phrase: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The index of the corpus, the terms of the items, and the candidates (doc, item, shift)."""
+def _postings_and_terms(corpus: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The index of the corpus, the terms of the items, and these with ``df``, the postings of each term in the corpus."""
     terms = materialize(build_index(items, item_key, item_text).select(F.col("id").alias("item"), F.col("pos").alias("ipos"), "term"), "item-terms")
     index = materialize(build_index(corpus, key, text, terms.select("term")).withColumnRenamed("id", "doc"), "postings")
     lists = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return index, terms, terms.join(lists, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+
+
+def _search(corpus: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, phrase: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The index of the corpus, the terms of the items, and the candidates (doc, item, shift)."""
+    index, terms, rare = _postings_and_terms(corpus, key, text, items, item_key, item_text)
     # the rarest term of every passage of ``phrase`` words: any shared passage holds one
-    rare = terms.join(lists, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     passage = Window.partitionBy("item").orderBy("ipos").rowsBetween(0, phrase - 1)
     first = rare.select("item", "ipos", F.min(F.struct("df", "ipos", "term")).over(passage).alias("r"), F.count(F.lit(1)).over(passage).alias("n")).where(F.col("n") == phrase)
     anchors = materialize(first.select("item", F.col("r.ipos").alias("ipos"), F.col("r.term").alias("term")).distinct(), "anchors")
@@ -121,15 +127,32 @@ def near_passages(corpus: DataFrame, key: str, text: str, items: DataFrame, item
     """``(doc, item, words, coverage)``: proximity matches, where at least ``share`` of an item's words lie near their place.
 
     A word of the item is near if the document has it within ``slack`` positions of where a
-    candidate's shift puts it, so that words left out, added or exchanged do not matter.
-    Candidates, nulls and empty tables are as in ``shared_passages``.
+    shift puts it, so that words left out, added or exchanged do not matter; ``words`` is the
+    most over all shifts. Items of any length count, and ``phrase`` has no effect here. Nulls
+    and empty tables are as in ``shared_passages``.
+
+    Method: where m of the n words of an item must be near, a document holds at least c of its
+    n - m + c rarest, c being ``SEEDED`` of m; documents that do are candidates, in which all
+    words are laid over each other. The first place of a word in the range of shifts that
+    begins at s counts for s, so that a running sum along the shifts counts each word once.
     """
-    index, terms, candidates = _search(corpus, key, text, items, item_key, item_text, phrase)
-    candidates = materialize(candidates, "shifts")
+    index, terms, rare = _postings_and_terms(corpus, key, text, items, item_key, item_text)
+    rank = F.row_number().over(Window.partitionBy("item").orderBy("df", "term", "ipos"))
+    ranked = rare.withColumn("rank", rank).withColumn("length", F.count(F.lit(1)).over(Window.partitionBy("item")))
+    ranked = ranked.withColumn("m", F.greatest(F.lit(1), F.ceil(F.lit(share) * F.col("length") - 1e-9))).withColumn("c", F.ceil(F.lit(SEEDED) * F.col("m")))
+    # a term of several places weighs as many words
+    seeds = ranked.where((F.col("df") > 0) & (F.col("rank") <= F.col("length") - F.col("m") + F.col("c"))).groupBy("item", "term", "c").agg(F.count(F.lit(1)).alias("n"))
+    seeds = materialize(seeds, "seeds")
+    held = index.select("doc", "term").distinct().join(broadcast_if_small(seeds, 120), "term")
+    candidates = materialize(held.groupBy("doc", "item").agg(F.sum("n").alias("n"), F.first("c").alias("c")).where("n >= c").select("doc", "item"), "candidates")
     inner = terms.withColumnRenamed("item", "i").withColumnRenamed("term", "t")
     on = (F.col("item") == F.col("i")) & (F.col("term") == F.col("t"))
-    near = candidates.join(index, "doc").join(broadcast_if_small(inner, 120), on).where(F.abs(F.col("pos") - F.col("shift") - F.col("ipos")) <= slack)
-    counts = near.select("doc", "item", "shift", "ipos").distinct().groupBy("doc", "item", "shift").agg(F.count(F.lit(1)).alias("n"))
+    met = candidates.join(index, "doc").join(broadcast_if_small(inner, 120), on).select("doc", "item", "ipos", (F.col("pos") - F.col("ipos")).alias("at")).repartition("doc", "item")
+    before = F.lag("at").over(Window.partitionBy("doc", "item", "ipos").orderBy("at"))
+    met = met.withColumn("since", F.greatest(F.col("at") - 2 * slack, before + 1))
+    edges = met.select("doc", "item", F.inline(F.array(F.struct(F.col("since").alias("s"), F.lit(1).alias("d")), F.struct((F.col("at") + 1).alias("s"), F.lit(-1).alias("d")))))
+    steps = edges.groupBy("doc", "item", "s").agg(F.sum("d").alias("d"))
+    counts = steps.select("doc", "item", F.sum("d").over(Window.partitionBy("doc", "item").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)).alias("n"))
     lengths = terms.groupBy("item").agg(F.count(F.lit(1)).alias("length"))
     best = counts.groupBy("doc", "item").agg(F.max("n").alias("words")).join(broadcast_if_small(lengths, 40), "item")
     return best.select("doc", "item", "words", (F.col("words") / F.col("length")).alias("coverage")).where(F.col("coverage") >= share)

@@ -82,3 +82,35 @@ def test_index_and_near(spark):
     docs = [(1, " ".join(gone)), (2, " ".join(swapped)), (3, " ".join(WORDS[40:90])), (4, " ".join(item[:13]))]
     got = {(r["doc"], r["item"]): r["words"] for r in near_passages(*frames(spark, docs, [(1, " ".join(item))])).collect()}
     assert got == {(1, 1): 27, (2, 1): 30}
+
+
+def near_brute(docs, items, slack=3, share=0.6):
+    out = {}
+    for d, text in docs:
+        places = {}
+        for p, w in enumerate(words(text)):
+            places.setdefault(w, []).append(p)
+        for k, item in items:
+            v = words(item)
+            at = [{p - i + e for p in places.get(w, []) for e in range(-slack, slack + 1)} for i, w in enumerate(v)]
+            best = max((sum(s in a for a in at) for s in set().union(*at)), default=0)
+            if best and best >= share * len(v):
+                out[(d, k)] = best
+    return out
+
+
+def test_near_against_all_shifts(spark):
+    """Retyped copies lose the rarest word of every passage, and items may be short."""
+    rnd = random.Random(7)
+    items = [(i, " ".join([*rnd.choices(WORDS, k=rnd.randint(3, 40)), f"absent{i}"])) for i in range(25)]
+    docs = []
+    for d in range(150):
+        copy = rnd.choice(items)[1].split()
+        for _ in range(rnd.randint(0, len(copy) // 2)):
+            i = rnd.randrange(len(copy))
+            copy[i : i + 1] = rnd.choice(([], ["typo"], [copy[i], "typo"], [rnd.choice(WORDS)]))
+        docs.append((d, " ".join([*rnd.choices(WORDS, k=rnd.randint(0, 30)), *copy, *rnd.choices(WORDS[:9], k=rnd.randint(0, 30))])))
+    want = near_brute(docs, items)
+    assert len(want) > 80
+    got = {(r["doc"], r["item"]): r["words"] for r in near_passages(*frames(spark, docs, items)).collect()}
+    assert got == want
