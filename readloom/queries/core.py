@@ -189,11 +189,16 @@ def fastq_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_fastq(spark, at, 33).select("r1.name", "r1.sequence", "r1.comment", "r1.quality")
 
 
-def stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _stream_stats(spark: SparkSession, sf_dir: str, whole: bool) -> DataFrame:
     """The chain over a stream of the table's files with running counts; the last counts come out."""
     path = f"{sf_dir}/fastq_reads.parquet"
     # a pattern, as the table is a file here and a folder there
-    rows = read_stream(spark, f"{sf_dir}/fastq_reads.parque[t]", spark.read.parquet(path).schema).where("sequence IS NOT NULL AND quality IS NOT NULL AND phred_offset IS NOT NULL")
+    rows = read_stream(spark, f"{sf_dir}/fastq_reads.parque[t]", spark.read.parquet(path).schema).where("sequence IS NOT NULL AND quality IS NOT NULL")
+    if whole:
+        runs = table(spark, sf_dir, "runs").select(F.col("run_id").alias("of"), F.col("phred_offset").alias("run_offset"))
+        rows = rows.join(broadcast_if_small(runs, 80), F.col("run_id") == F.col("of"), "left").withColumn("phred_offset", F.coalesce("phred_offset", "run_offset"))
+    else:
+        rows = rows.where("phred_offset IS NOT NULL")
     read = read_struct(F.col("name"), F.col("sequence"), F.col("comment"), F.col("quality"), F.col("phred_offset"), F.col("barcode_label"), F.col("head_pos"))
     counts = running_stats(trim_stream(single(rows.select("ordinal", read.alias("r1"))), CHAIN))
     last: list = []
@@ -201,6 +206,16 @@ def stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(last[-1] if last else [], "input long, surviving long, dropped long")
 
 
+def stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As its SQL says, without the rows that have no offset of their own; ``stream_stats_whole`` counts these too."""
+    return _stream_stats(spark, sf_dir, False)
+
+
+def stream_stats_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of the whole table; where the offset is null, that of the run."""
+    return _stream_stats(spark, sf_dir, True)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_records(table(spark, sf_dir, "raw_records"), "raw_id").where("reason IS NOT NULL").select("raw_id", "reason")
 
@@ -229,7 +244,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         f.__name__: f
         for f in (
             slot_crops, clip_simple, clip_palindrome, clip_keep_both, barcode_split, barcode_mismatch, pair_zip, pair_route, pair_validate, name_canonical, repair_names,
-            stats_se, stats_pe, log_se, log_totals, phred_detect, revcomp, normal, quality_sums, chain_pe, chain_clip_pe, fastq_round_trip, stream_stats, p3_found, p3_loaded,
+            stats_se, stats_pe, log_se, log_totals, phred_detect, revcomp, normal, quality_sums, chain_pe, chain_clip_pe, fastq_round_trip, stream_stats, stream_stats_whole, p3_found, p3_loaded,
         )
     },
 }
@@ -361,6 +376,7 @@ SQL: dict[str, str] = {
     "stats_pe": _sql_pairs(_SIDES, _SIDES, "SELECT count(*) AS input, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS both, count(*) FILTER (a IS NOT NULL AND b IS NULL) AS forward_only, count(*) FILTER (a IS NULL AND b IS NOT NULL) AS reverse_only, count(*) FILTER (a IS NULL AND b IS NULL) AS dropped FROM done"),
     "chain_pe": _sql_pairs(CHAIN, CHAIN, "SELECT ordinal, CAST(coalesce(length(a), -1) AS INTEGER) AS length1, CAST(coalesce(length(b), -1) AS INTEGER) AS length2 FROM done"),
     "stats_se": f"WITH {_START}, {_chain_sql} SELECT n AS input, k AS surviving, n - k AS dropped FROM (SELECT count(*) AS n FROM reads), (SELECT count(*) AS k FROM {_chain_last})",
+    "stream_stats_whole": f"WITH {_START}, {_chain_sql} SELECT n AS input, k AS surviving, n - k AS dropped FROM (SELECT count(*) AS n FROM reads), (SELECT count(*) AS k FROM {_chain_last})",
     "stream_stats": f"WITH all_reads AS (SELECT * FROM fastq_reads), {_START.replace('coalesce(f.phred_offset, r.phred_offset)', 'f.phred_offset').replace('WHERE', 'WHERE f.phred_offset IS NOT NULL AND')}, {_chain_sql} SELECT n AS input, k AS surviving, n - k AS dropped FROM (SELECT count(*) AS n FROM reads), (SELECT count(*) AS k FROM {_chain_last})",
     "log_se": f"""WITH {_START}, base AS (SELECT row_number() OVER () AS i, * FROM reads), numbered AS (SELECT i AS ordinal, name, s, q, o, h FROM base), {_log_sql}
       SELECT b.ordinal, 1 AS mate, b.name AS read_name, CAST(coalesce(length(x.s), 0) AS INTEGER) AS length, CAST(coalesce(x.h, 0) AS INTEGER) AS start_pos, CAST(coalesce(x.h + length(x.s), 0) AS INTEGER) AS end_pos,
