@@ -90,9 +90,10 @@ def clip_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _palindromes(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     a = _adapters(spark, sf_dir)
-    n = min(len(a.forward), len(a.reverse), 4)
+    n = min(len(a.forward), len(a.reverse))
     prefixes = tuple((x[-min(len(x), len(y)) :], y[-min(len(x), len(y)) :]) for x, y in zip(a.forward[:n], a.reverse[:n]))
-    clip = make_clip(Adapters(prefixes, a.forward[n:], a.reverse[n:], a.common), ["2", "30", "10", *more])
+    # as in files that list both, each is searched for by itself too: a pair alone tells only read-through into both mates
+    clip = make_clip(Adapters(prefixes, a.forward, a.reverse, a.common), ["2", "30", "10", *more])
     done = trim_paired(_pairs(spark, sf_dir), [clip])
     return _lengths(done)
 

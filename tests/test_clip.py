@@ -214,3 +214,18 @@ def test_sides_and_files(tmp_path, monkeypatch):
         parse_step("ILLUMINACLIP:none.fa:2:30:10")
     with pytest.raises(ValueError):
         parse_step("ILLUMINACLIP:my.fa:2:30")
+
+
+def test_queries_pair_all_adapters(spark, monkeypatch):
+    """Every forward sequence that has a reverse one is tested for palindromes with it."""
+    from readloom.queries import core
+
+    seen = []
+    adapters = core.Adapters((), tuple(f"ACGTACGT{'A' * i}" for i in range(9)), tuple(f"TTGGCCAA{'C' * i}" for i in range(6)), ())
+    monkeypatch.setattr(core, "_adapters", lambda *_: adapters)
+    monkeypatch.setattr(core, "make_clip", lambda a, args: seen.append(a))
+    monkeypatch.setattr(core, "_pairs", lambda *_: None)
+    monkeypatch.setattr(core, "trim_paired", lambda *_: None)
+    monkeypatch.setattr(core, "_lengths", lambda *_: None)
+    core.clip_palindrome(spark, "")
+    assert len(seen[0].pairs) == 6 and seen[0].forward == adapters.forward and seen[0].reverse == adapters.reverse
