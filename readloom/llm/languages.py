@@ -32,7 +32,8 @@ WEIGHT = 0.6  # n-grams of a word overlap; their log probabilities count by this
 ROUNDS = 3  # fits; from the second on, words train the language they were found in
 
 _BLOCK = re.compile(r"```.*?(?:```|\Z)|\[code\].*?(?:\[/code\]|\Z)|<pre>.*?(?:</pre>|\Z)", re.S | re.I)
-_SIGNATURE = re.compile(r"^(?:> ?)*-- ?\r?$.*\Z", re.S | re.M)
+_SIGNATURE = re.compile(r"^((?:> ?)*)-- \r?$", re.M)
+_QUOTE = re.compile(r"^(?:> ?)*", re.M)
 _URL = re.compile(r"\b(?:https?|ftp)://\S+|\bwww\.\S+")
 _TAG = re.compile(r"<[^<>]*>|\[/?[a-z]+(?:=[^\]]*)?\]|\[\.\.\.\]")
 _AUTHOR = re.compile(r"^(?:> ?)*\S{0,80}\d\S{0,80}:[^\S\n]*$", re.M)
@@ -50,10 +51,20 @@ def label_language(label: Column) -> Column:
     return out
 
 
+def _unsigned(text: str) -> str:
+    """The text without signatures: each goes from a line ``-- `` to where the depth of its quote falls, unquoted to the end."""
+    kept, at = [], 0
+    while mark := _SIGNATURE.search(text, at):
+        kept.append(text[at : mark.start()])
+        depth = mark[1].count(">")
+        at = next((q.start() for q in _QUOTE.finditer(text, mark.end()) if q[0].count(">") < depth), len(text))
+    return "".join([*kept, text[at:]])
+
+
 def prose(text: str) -> str:
     """The text without signature, code and log blocks, tags and URLs; quote marks are taken off."""
     t = _BLOCK.sub("\n", text)
-    t = _SIGNATURE.sub("", t)
+    t = _unsigned(t)
     t = html.unescape(_URL.sub(" ", _TAG.sub(" ", t)))
     t = _AUTHOR.sub("", t)
     return re.sub(r"^(?:> ?)+", "", t, flags=re.M)

@@ -89,3 +89,9 @@ def test_path_against_enumeration(switch):
         if n:
             assert value(path[at : at + n]) == pytest.approx(max(value(p) for p in itertools.product(range(3), repeat=n)))
         at += n
+
+
+def test_words_after_a_quoted_signature_stay():
+    assert prose_words("> hello\n> -- \n> sent by me\n> > deeper\nown reply\n-- \ngone\nfor good") == ["hello", "own", "reply"]
+    assert prose_words("> > one\n> > -- \n> > gone\n> two\n> -- \n> gone") == ["one", "two"]
+    assert prose_words("one\n--\ntwo") == ["one", "two"]
