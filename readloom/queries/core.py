@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from readloom.functions.sequence import normal_sequence, reverse_complement
 from readloom.operators.barcodes import split_barcodes
 from readloom.operators.clip import Adapters, make_clip, sort_adapters
 from readloom.operators.malformed import parse_records
-from readloom.operators.pairs import paired_by_name, routed, validate_pairs
+from readloom.operators.pairs import RepairError, paired_by_name, repair_by_name, routed, validate_pairs
 from readloom.operators.stats import paired_stats, single_stats, trim_log
 from readloom.operators.steps import MaxInfo
 from readloom.plans.chain import trim_paired, trim_single
@@ -134,9 +135,28 @@ def name_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "fastq_reads").select("ordinal", canonical_name(F.col("name")).alias("canonical"))
 
 
+def _once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reads(spark, sf_dir).groupBy("ordinal").agg(F.min_by("r1", F.col("r1")["name"]).alias("r1"))
+
+
 def repair_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = _reads(spark, sf_dir).groupBy("ordinal").agg(F.min_by("r1", F.col("r1")["name"]).alias("r1"))
-    return paired_by_name(first, _mates(spark, sf_dir), " ").select("ordinal1", "ordinal2")
+    return paired_by_name(_once(spark, sf_dir), _mates(spark, sf_dir), " ").select("ordinal1", "ordinal2")
+
+
+def repair_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads and mates paired anew by name: which of the four outputs each goes to, whether or not ``repair_check`` refuses the tables."""
+    parts = repair_by_name(_once(spark, sf_dir), _mates(spark, sf_dir), " ", check=False)
+    return reduce(DataFrame.unionByName, [d.select(F.lit(stream).alias("stream"), "ordinal", F.col("read")["name"].alias("name")) for stream, d in parts.items()])
+
+
+def repair_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why the names of reads and mates cannot be paired, of the tests for repeated names and order; null if they can."""
+    reason = None
+    try:
+        repair_by_name(_once(spark, sf_dir), _mates(spark, sf_dir), " ")
+    except RepairError as e:
+        reason = str(e)
+    return spark.createDataFrame([(reason,)], "reason string")
 
 
 def stats_se(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,7 +264,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{
         f.__name__: f
         for f in (
-            slot_crops, clip_simple, clip_palindrome, clip_keep_both, barcode_split, barcode_mismatch, pair_zip, pair_route, pair_validate, name_canonical, repair_names,
+            slot_crops, clip_simple, clip_palindrome, clip_keep_both, barcode_split, barcode_mismatch, pair_zip, pair_route, pair_validate, name_canonical, repair_names, repair_split, repair_check,
             stats_se, stats_pe, log_se, log_totals, phred_detect, revcomp, normal, quality_sums, chain_pe, chain_clip_pe, fastq_round_trip, stream_stats, stream_stats_whole, p3_found, p3_loaded,
         )
     },
@@ -391,6 +411,10 @@ SQL: dict[str, str] = {
     "pair_validate": f"""WITH {_START}, {_MATES}, f AS (SELECT DISTINCT ordinal, name FROM reads), j AS (SELECT m.ordinal, f.name AS forward_name, m.name AS reverse_name FROM mates_ok m LEFT JOIN f USING (ordinal)),
       c AS (SELECT *, {_CANONICAL.replace('name', 'forward_name')} AS a, {_CANONICAL.replace('name', 'reverse_name')} AS b, string_split(split_part(forward_name, ' ', 1), '') AS x, string_split(split_part(reverse_name, ' ', 1), '') AS y FROM j)
       SELECT ordinal, forward_name, reverse_name FROM c WHERE NOT coalesce(CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN a = b ELSE len(x) = len(y) AND len(list_filter(range(1, len(x) + 1), lambda i: x[i] <> y[i] AND NOT (x[i] = '1' AND y[i] = '2'))) = 0 END, false) ORDER BY ordinal LIMIT 1""",
+    "repair_split": f"""WITH {_START}, {_MATES}, f AS (SELECT ordinal, min(name) AS name, regexp_replace(min(name), ' [^ ]*$', '') AS k FROM reads GROUP BY ordinal),
+      m AS (SELECT ordinal, name, regexp_replace(name, ' [^ ]*$', '') AS k FROM mates_ok)
+      SELECT CASE WHEN EXISTS (SELECT 1 FROM m WHERE m.k = f.k) THEN '1P' ELSE '1U' END AS stream, ordinal, name FROM f
+      UNION ALL SELECT CASE WHEN EXISTS (SELECT 1 FROM f WHERE f.k = m.k) THEN '2P' ELSE '2U' END, ordinal, name FROM m""",
     "repair_names": f"WITH {_START}, {_MATES}, f AS (SELECT ordinal, min(name) AS name FROM reads GROUP BY ordinal) SELECT f.ordinal AS ordinal1, m.ordinal AS ordinal2 FROM f JOIN mates_ok m ON regexp_replace(f.name, ' [^ ]*$', '') = regexp_replace(m.name, ' [^ ]*$', '')",
     "phred_detect": """WITH c AS (SELECT ascii(unnest(string_split(quality, ''))) AS c FROM fastq_reads WHERE phred_offset = 33 AND quality IS NOT NULL AND ordinal < 10000),
       s AS (SELECT count(*) FILTER (c BETWEEN 33 AND 58) AS low, count(*) FILTER (c BETWEEN 80 AND 104) AS high FROM c) SELECT low, high, CASE WHEN low = 0 AND high > 0 THEN 64 WHEN high = 0 AND low > 0 THEN 33 ELSE 0 END AS phred FROM s""",
