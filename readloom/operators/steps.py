@@ -321,7 +321,7 @@ class MaxInfo(BatchStep):
 
         def ratio(v):
             with np.errstate(divide="ignore"):
-                return np.float64(2**63 - 1) / (max(v[0], np.abs(v[1:]).max()) * (self.LONGEST + self.LONGEST))
+                return np.float64(2**63 - 1) / (max(v[0], np.abs(v[1:]).max()) * 2 * self.LONGEST)
 
         scale = max(ratio(by_length), ratio(by_quality))
 

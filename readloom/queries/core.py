@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.functions.names import canonical_name
+from readloom.functions.names import PATTERNS, canonical_name
 from readloom.functions.quality import quality_values
 from readloom.functions.sequence import normal_sequence, reverse_complement
 from readloom.operators.barcodes import split_barcodes
@@ -17,7 +17,6 @@ from readloom.operators.clip import Adapters, make_clip, sort_adapters
 from readloom.operators.malformed import parse_records
 from readloom.operators.pairs import RepairError, paired_by_name, repair_by_name, routed, validate_pairs
 from readloom.operators.stats import paired_stats, single_stats, trim_log
-from readloom.operators.steps import MaxInfo
 from readloom.plans.chain import trim_paired, trim_single
 from readloom.schema import paired, read_struct, single
 from readloom.session import broadcast_if_small, scratch_dir, spread, table
@@ -178,7 +177,8 @@ def log_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def phred_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return phred_histogram(table(spark, sf_dir, "fastq_reads").where("phred_offset = 33"))
+    """What the qualities of each run tell of its encoding, over all its reads."""
+    return phred_histogram(table(spark, sf_dir, "fastq_reads").select("run_id", "quality", "ordinal"), most=None, groups=("run_id",))
 
 
 def revcomp(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -321,9 +321,15 @@ def _sql_step(step: str, source: str) -> str:
         moved = f"array_to_string(list_transform(string_split(q, ''), lambda c: chr(ascii(c) {'- 31' if to == 33 else '+ 31'})), '')"
         return f"SELECT ordinal, name, s, CASE WHEN o = {to} THEN q ELSE {moved} END AS q, {to} AS o, h FROM {source}"
     if name == "MAXINFO":
-        by_length, by_quality = (t.tolist() for t in MaxInfo(int(args[0]), float(args[1])).tables)
+        # the tables as SQL: 64-bit fixed-point logarithms, by length and by quality
+        t, strict = args
+        lengths = f"list_transform(range(0, 1000), lambda i: -ln(1 + exp(CAST({t} - i - 1 AS DOUBLE))) + ln(i + 1.0::DOUBLE) * CAST(1 - CAST({strict} AS FLOAT) AS DOUBLE))"
+        qualities = f"list_transform(range(0, 61), lambda x: ln(1 - pow(0.1::DOUBLE, (0.5 + x) / 10.0)) * CAST(CAST({strict} AS FLOAT) AS DOUBLE))"
+        ratio = lambda v: f"9223372036854775807::DOUBLE / (greatest({v}[1], list_max(list_transform({v}[2:], lambda y: abs(y)))) * 2000)"
+        scale = f"SELECT ln_, q_, greatest({ratio('ln_')}, {ratio('q_')}) AS k_ FROM (SELECT {lengths} AS ln_, {qualities} AS q_)"
+        tables = f"SELECT list_transform(ln_, lambda y: CAST(trunc(y * k_) AS BIGINT)) AS ln_, list_transform(q_, lambda y: CAST(trunc(y * k_) AS BIGINT)) AS q_ FROM ({scale})"
         return f"""SELECT ordinal, name, {_CUT.format(a='1', b='k')} FROM (SELECT *, list_max(list_filter(range(1, len(score) + 1), lambda i: score[i] = list_max(score))) AS k, list_max(score) AS top FROM
-          (SELECT *, list_transform(range(1, {n} + 1), lambda i: CAST(({by_length[:160]})[i] + list_sum(list_transform(v[1:i], lambda x: ({by_quality})[least(greatest(x, 0), 60) + 1])) AS DOUBLE)) AS score FROM {keep})) WHERE {n} > 0 AND top <> 0"""
+          (SELECT *, list_transform(range(1, {n} + 1), lambda i: CAST(ln_[i] + list_sum(list_transform(v[1:i], lambda x: q_[least(greatest(x, 0), 60) + 1])) AS DOUBLE)) AS score FROM {keep}, ({tables}))) WHERE {n} > 0 AND top <> 0"""
     raise ValueError(step)
 
 
@@ -354,8 +360,7 @@ def _sql_pairs(steps1: list[str], steps2: list[str], select: str) -> str:
     return f"WITH {_START}, {_MATES}, {both}, {sides}, {one}, {two}, {out} {select}"
 
 
-_CANONICAL = """CASE WHEN regexp_matches(name, '[^:]+:[0-9]+:[0-9]+:[0-9]+:[0-9]+#[A-Z0-9]+') THEN regexp_replace(name, '(.* )?([^:]+:[0-9]+:[0-9]+:[0-9]+:[0-9]+#[A-Z0-9]+).*', '\\2')
-   WHEN regexp_matches(name, '[^:]+:[0-9]+:[A-Z0-9]+:[0-9]+:[0-9]+:[0-9]+:[0-9]+') THEN regexp_replace(name, '(.* )?([^:]+:[0-9]+:[A-Z0-9]+:[0-9]+:[0-9]+:[0-9]+:[0-9]+).*', '\\2') END"""
+_CANONICAL = "CASE " + " ".join(f"WHEN regexp_matches(name, '{p.split('(')[2].split(')')[0]}') THEN regexp_replace(name, '{p}', '\\2')" for p in PATTERNS) + " END"
 _SIDES = ["TRAILING:20", "MINLEN:60"]
 _chain_sql, _chain_last = _sql_chain(CHAIN)
 _log_sql, _log_last = _sql_chain(["HEADCROP:3", "TRAILING:10", "MINLEN:50"], "numbered")
@@ -416,8 +421,9 @@ SQL: dict[str, str] = {
       SELECT CASE WHEN EXISTS (SELECT 1 FROM m WHERE m.k = f.k) THEN '1P' ELSE '1U' END AS stream, ordinal, name FROM f
       UNION ALL SELECT CASE WHEN EXISTS (SELECT 1 FROM f WHERE f.k = m.k) THEN '2P' ELSE '2U' END, ordinal, name FROM m""",
     "repair_names": f"WITH {_START}, {_MATES}, f AS (SELECT ordinal, min(name) AS name FROM reads GROUP BY ordinal) SELECT f.ordinal AS ordinal1, m.ordinal AS ordinal2 FROM f JOIN mates_ok m ON regexp_replace(f.name, ' [^ ]*$', '') = regexp_replace(m.name, ' [^ ]*$', '')",
-    "phred_detect": """WITH c AS (SELECT ascii(unnest(string_split(quality, ''))) AS c FROM fastq_reads WHERE phred_offset = 33 AND quality IS NOT NULL AND ordinal < 10000),
-      s AS (SELECT count(*) FILTER (c BETWEEN 33 AND 58) AS low, count(*) FILTER (c BETWEEN 80 AND 104) AS high FROM c) SELECT low, high, CASE WHEN low = 0 AND high > 0 THEN 64 WHEN high = 0 AND low > 0 THEN 33 ELSE 0 END AS phred FROM s""",
+    "phred_detect": """WITH c AS (SELECT run_id, unnest(string_split(quality, '')) AS c FROM fastq_reads WHERE quality IS NOT NULL),
+      s AS (SELECT run_id, count(*) FILTER (ascii(c) BETWEEN 33 AND 58) AS low, count(*) FILTER (ascii(c) BETWEEN 80 AND 104) AS high FROM c GROUP BY run_id)
+      SELECT run_id, low, high, CAST(CASE WHEN low = 0 AND high > 0 THEN 64 WHEN high = 0 AND low > 0 THEN 33 ELSE 0 END AS INTEGER) AS phred FROM s""",
     "revcomp": "SELECT ordinal, reverse(translate(regexp_replace(sequence, '[^ACGT]', 'N', 'g'), 'ACGT', 'TGCA')) AS other_strand FROM fastq_reads",
     "normal": "SELECT ordinal, upper(translate(sequence, 'uU.', 'tTN')) AS sequence FROM fastq_reads",
     "quality_sums": f"WITH {_START} SELECT ordinal, CAST(list_sum({_values()}) AS BIGINT) AS total FROM reads",

@@ -12,7 +12,7 @@ LEVELS = ("BEST_SPEED", "TWO", "THREE", "FOUR", "FIVE", "SIX", "SEVEN", "EIGHT",
 
 def codec(path: str) -> str | None:
     """The codec that a file's suffix names, None for plain text; zip archives raise, as Hadoop cannot read them."""
-    low = path.lower()
+    low = path.lower().rstrip("/")
     if low.endswith(".zip"):
         raise ValueError(f"zip archives are not supported: {path}")
     return next((c for s, c in CODECS.items() if low.endswith(s)), None)

@@ -11,7 +11,7 @@ from readloom.sources.fasta import read_fasta, write_fasta
 from readloom.sources.fastq import FastqError, detect_phred, read_fastq, read_fastq_pair, read_lines_as_records, write_fastq
 from readloom.sources.templates import mate_path, output_paths
 
-TEXT = "@read1\nGATTACA\n+comment1\n!!!!!!!\n@read2\nTACCAGA\n+comment2\nFFFFFFF\n"
+TEXT = "@first of two\nACCTGN\n+\n!5AF+@\n@second\nTTG\n+note\n@@I\n"
 
 
 def names(df):
@@ -44,20 +44,72 @@ def test_codecs_and_line_ends(spark, tmp_path, end):
         assert got == [(i, *r) for i, r in enumerate(rs)]
 
 
-def test_blocks_of_plain_files(spark, tmp_path):
-    """Records are found and numbered however the blocks cut them, through several files."""
-    first, second = records(300), records(200, 300)
-    (tmp_path / "z.fq").write_text(text(first))
-    (tmp_path / "a.fq").write_text(text(second)[:-1])
-    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
+def test_blocks_of_plain_files(spark, tmp_path, broadcast_bytes):
+    """Records are found and numbered however the blocks cut them, through several files, with the list of blocks in every task or not."""
+    for size, n in ((9, 3), (200, 30), (2000, 300)):
+        first, second = records(n), records(n - 2, n)
+        (tmp_path / "z.fq").write_text(text(first))
+        (tmp_path / "a.fq").write_text(text(second)[:-1])
+        df = read_fastq(spark, [str(tmp_path / "z.fq"), str(tmp_path / "a.fq")], 33, split_bytes=size)
+        got = [(r["ordinal"], *r["r1"][:4]) for r in df.orderBy("ordinal").collect()]
+        assert got == [(i, *r) for i, r in enumerate(first + second)]
+
+
+def test_blocks_under_pressure(spark, tmp_path):
+    """Neither spilled sorts and joins nor a block size set between planning and reading lose lines or their order."""
+    rs = [(f"r{i}", "ACGT"[i % 4] * (i % 50), "", "I" * (i % 50)) for i in range(8_000)]
+    (tmp_path / "big.fq").write_text(text(rs))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.autoBroadcastJoinThreshold")}
     try:
-        for size in ("200b", "999b", "1m"):
-            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
-            df = read_fastq(spark, [str(tmp_path / "z.fq"), str(tmp_path / "a.fq")], 33)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.sortMergeJoinExec.buffer.spill.threshold", "500")
+        for broadcast_bytes in (1 << 20, 0):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+            df = read_fastq(spark, str(tmp_path / "big.fq"), 33, split_bytes=60_000, broadcast_bytes=broadcast_bytes)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "150k")
             got = [(r["ordinal"], *r["r1"][:4]) for r in df.orderBy("ordinal").collect()]
-            assert got == [(i, *r) for i, r in enumerate(first + second)]
+            assert got == [(i, *r) for i, r in enumerate(rs)]
     finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+        spark.conf.unset("spark.sql.sortMergeJoinExec.buffer.spill.threshold")
+
+
+def test_order_of_files(spark, tmp_path):
+    """Files stand in the order given, those of a folder or pattern by name; names may hold blanks and signs, or end alike."""
+    folder = tmp_path / "a folder"
+    folder.mkdir()
+    for name in ("xa.fq", "a.fq", "p%20é#+.fq"):
+        (folder / name).write_text(text([(name, "A", "", "5")]))
+    got = lambda *p: names(read_fastq(spark, list(p)))
+    assert got(str(folder)) == ["a.fq", "p%20é#+.fq", "xa.fq"]
+    assert got(str(folder / "xa.fq"), str(folder / "a.fq"), str(folder / "xa.fq")) == ["xa.fq", "a.fq", "xa.fq"]
+    assert got(str(folder / "?a.fq"), str(folder / "p%20é#+.fq")) == ["xa.fq", "p%20é#+.fq"]
+
+
+def test_changed_file(spark, tmp_path):
+    (tmp_path / "c.fq").write_text(text(records(50)))
+    df = read_fastq(spark, str(tmp_path / "c.fq"), 33)
+    (tmp_path / "c.fq").write_text(text(records(50)) + text(records(1)))
+    with pytest.raises(Exception, match="changed"):
+        df.collect()
+
+
+def test_bzip2_blocks(spark, tmp_path):
+    """Several blocks of a bzip2 file give the records of the plain one."""
+    rs = [(f"r{i}", "".join(random.Random(i).choices("ACGT", k=100)), "", "".join(random.Random(-i).choices("56789", k=100))) for i in range(12_000)]
+    (tmp_path / "m.fq.bz2").write_bytes(bz2.compress(text(rs).encode(), 1))
+    df = read_fastq(spark, str(tmp_path / "m.fq.bz2"), split_bytes=150_000)
+    assert df.rdd.getNumPartitions() > 3
+    got = [(r["ordinal"], *r["r1"][:4]) for r in df.orderBy("ordinal").collect()]
+    assert got == [(i, *r) for i, r in enumerate(rs)]
+
+
+def test_no_shuffle(spark, tmp_path):
+    (tmp_path / "n.fq").write_text(text(records(50)))
+    plan = read_fastq(spark, str(tmp_path / "n.fq"), 33)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("MapInArrow") == 1
 
 
 @pytest.mark.parametrize(
