@@ -75,13 +75,17 @@ def slot_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
 MOST_ADAPTERS = 100_000
 
 
-def _adapters(spark: SparkSession, sf_dir: str) -> Adapters:
-    """The adapter table, which every task gets: tens of rows, refused beyond ``MOST_ADAPTERS``."""
-    rows = table(spark, sf_dir, "adapters").select("name", F.upper("sequence"), "side").orderBy("name").limit(MOST_ADAPTERS + 1).collect()
+def _adapter_rows(spark: SparkSession, sf_dir: str) -> list[tuple[str, str]]:
+    """The adapter table as (name, sequence), which every task gets: tens of rows, refused beyond ``MOST_ADAPTERS``."""
+    rows = table(spark, sf_dir, "adapters").where("sequence IS NOT NULL").select("name", F.upper("sequence"), "side").orderBy("name").limit(MOST_ADAPTERS + 1).collect()
     if len(rows) > MOST_ADAPTERS:
         raise ValueError("too many adapters")
     end = {"forward": "/1", "reverse": "/2"}
-    return sort_adapters([(n.removesuffix("/1").removesuffix("/2") + end.get(side, ""), s) for n, s, side in rows])
+    return [(n.removesuffix("/1").removesuffix("/2") + end.get(side, ""), s) for n, s, side in rows]
+
+
+def _adapters(spark: SparkSession, sf_dir: str) -> Adapters:
+    return sort_adapters(_adapter_rows(spark, sf_dir))
 
 
 def clip_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,11 +93,11 @@ def clip_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _palindromes(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
-    a = _adapters(spark, sf_dir)
-    n = min(len(a.forward), len(a.reverse))
-    prefixes = tuple((x[-min(len(x), len(y)) :], y[-min(len(x), len(y)) :]) for x, y in zip(a.forward[:n], a.reverse[:n]))
+    # a forward and a reverse sequence of one name are a pair
+    rows = _adapter_rows(spark, sf_dir)
+    a, named = sort_adapters(rows), sort_adapters([(f"Prefix{n}", x) for n, x in rows])
     # as in files that list both, each is searched for by itself too: a pair alone tells only read-through into both mates
-    clip = make_clip(Adapters(prefixes, a.forward, a.reverse, a.common), ["2", "30", "10", *more])
+    clip = make_clip(Adapters(named.pairs, a.forward, a.reverse, a.common), ["2", "30", "10", *more])
     done = trim_paired(_pairs(spark, sf_dir), [clip])
     return _lengths(done)
 
@@ -360,6 +364,77 @@ def _sql_pairs(steps1: list[str], steps2: list[str], select: str) -> str:
     return f"WITH {_START}, {_MATES}, {both}, {sides}, {one}, {two}, {out} {select}"
 
 
+_BITS = "2 * hamming({0}, {1}) - hamming(translate({0}, 'ACGT', 'BBBB'), translate({1}, 'ACGT', 'BBBB')) <= 4"
+_PLAIN = "regexp_replace({}, '[^ACGT]', 'N', 'g')"
+
+
+def _sql_simple(source: str, side: str, tag: str) -> str:
+    """CTEs ending in ``{tag}cut`` (ordinal, k): the leftmost offset of each row at which an adapter of the side, or a common one, matches.
+
+    Seeds are 16-mers of which at most two bases differ, every fourth of an adapter of 24 bases or more; a place with
+    a seed and over 15 bases of overlap matches if 17 bases (a score of 10) agree without a mismatch between them.
+    """
+    return f"""{tag}ad AS (SELECT DISTINCT upper(sequence) AS c FROM adapters WHERE side IN ('{side}', 'common') AND length(sequence) >= 16),
+      {tag}seed AS (SELECT c, unnest(range(0, length(c) - 15, CASE WHEN length(c) < 24 THEN 1 ELSE 4 END)) AS j FROM {tag}ad),
+      {tag}win AS (SELECT c, j, substr({_PLAIN.format("c")}, j + 1, 16) AS w FROM {tag}seed),
+      {tag}pos AS (SELECT ordinal, i, substr({_PLAIN.format("s")}, i + 1, 16) AS w FROM (SELECT ordinal, s, unnest(range(0, length(s) - 15)) AS i FROM {source})),
+      {tag}text AS (SELECT DISTINCT w FROM {tag}pos),
+      {tag}near AS (SELECT t.w, x.c, x.j FROM {tag}text t JOIN {tag}win x ON {_BITS.format("t.w", "x.w")}),
+      {tag}at AS (SELECT DISTINCT ordinal, c, i - j AS f FROM {tag}pos JOIN {tag}near USING (w)),
+      {tag}over AS (SELECT a.*, r.s, r.o, r.q, least(length(r.s) - greatest(f, 0), length(c) - greatest(-f, 0)) AS m FROM {tag}at a JOIN {source} r USING (ordinal)),
+      {tag}run AS (SELECT ordinal, f, array_to_string(list_transform(range(1, m + 1), lambda t: CASE WHEN s[greatest(f, 0) + t] = 'N' OR c[greatest(-f, 0) + t] = 'N' THEN '0'
+          WHEN s[greatest(f, 0) + t] = c[greatest(-f, 0) + t] THEN 'M' WHEN ascii(q[greatest(f, 0) + t]) - o = 0 THEN '0' ELSE 'X' END), '') AS z FROM {tag}over WHERE m > 15),
+      {tag}cut AS (SELECT ordinal, min(f) AS k FROM {tag}run WHERE list_max(list_transform(string_split(z, 'X'), lambda y: length(replace(y, '0', '')))) >= 17 GROUP BY ordinal)"""
+
+
+def _sql_palindrome() -> str:
+    """CTEs ending in ``pal`` (i, k): the bases kept of pairs that read through, over ``pairs``; k is null without a match."""
+    return f"""couple AS (SELECT p, right(x, p) AS x, right(y, p) AS y FROM (SELECT upper(f.sequence) AS x, upper(r.sequence) AS y, least(length(x), length(y)) AS p FROM adapters f
+          JOIN adapters r ON f.side = 'forward' AND r.side = 'reverse' AND regexp_replace(f.name, '/[12]$', '') = regexp_replace(r.name, '/[12]$', ''))),
+      laid AS (SELECT i, p, x || s1 AS a, y || s2 AS b, q1, q2, o1, o2, length(x || s1) AS la, length(y || s2) AS lb FROM pairs, couple),
+      steps AS (SELECT *, unnest(range(greatest(p - 16, 0), greatest(la, lb) - 23)) AS n FROM laid WHERE la - 15 > p AND lb - 15 > p),
+      ways AS (SELECT *, least(n // 2 - greatest(p - 16, 0) // 2, least(la, lb) - 16 - p) AS up FROM steps),
+      places AS (SELECT *, p + up AS ref, n - up AS test FROM ways),
+      cmp AS (SELECT *, {_PLAIN.format("a")} AS pa, {_PLAIN.format("b")} AS pb FROM places),
+      hit AS (SELECT *, n + p + 16 AS total FROM cmp WHERE test < lb - 15 AND {_BITS.format("substr(pa, ref + 1, 16)", "reverse(translate(substr(pb, test + 1, 16), 'ACGT', 'TGCA'))")}
+          OR test < la - 15 AND {_BITS.format("substr(pa, test + 1, 16)", "reverse(translate(substr(pb, ref + 1, 16), 'ACGT', 'TGCA'))")}),
+      both_ AS (SELECT *, greatest(total - la, 0) AS skb, greatest(total - lb, 0) AS ska, total - greatest(total - la, 0) - greatest(total - lb, 0) AS m FROM hit),
+      score AS (SELECT i, p, total, list_transform(range(0, m), lambda t: struct_pack(c := a[t + ska + 1], d := translate(pb[skb + m - t], 'ACGT', 'TGCA'),
+          e := CASE WHEN t + ska < p THEN 100 WHEN a[t + ska + 1] = 'N' THEN 0 ELSE ascii(q1[t + ska + 1 - p]) - o1 END,
+          g := CASE WHEN skb + m - t <= p THEN 100 WHEN b[skb + m - t] = 'N' THEN 0 ELSE ascii(q2[skb + m - t - p]) - o2 END)) AS v FROM both_),
+      sums AS (SELECT i, total - 2 * p AS k, list_sum(list_transform(v, lambda z: CASE WHEN z.c = 'N' OR z.d = 'N' THEN 0::DECIMAL(9, 5) WHEN z.c = z.d THEN 0.60206::DECIMAL(9, 5) ELSE -(least(z.e, z.g) // 10)::DECIMAL(9, 5) END)) AS t FROM score),
+      pal AS (SELECT i, min(k) AS k FROM sums WHERE t >= 30 GROUP BY i)"""
+
+
+def _sql_clipped(source: str, tag: str, kept: str | None = None) -> str:
+    """The state after clipping; ``kept`` is a query (ordinal, k) of further cuts."""
+    cuts = f"(SELECT ordinal, min(k) AS k FROM (SELECT * FROM {tag}cut{f' UNION ALL {kept}' if kept else ''}) GROUP BY ordinal)"
+    return f"{tag}clipped AS (SELECT r.ordinal, r.name, {_CUT.format(a='1', b='coalesce(c.k, length(s))')} FROM {source} r LEFT JOIN {cuts} c ON c.ordinal = r.ordinal WHERE c.k IS NULL OR c.k > 0)"
+
+
+def _sql_clip_single() -> str:
+    numbered = "numbered AS (SELECT row_number() OVER () AS ordinal, ordinal AS true_, name, s, q, o, h FROM reads)"
+    return f"""WITH {_START}, {numbered}, {_sql_simple("numbered", "forward", "f")}, {_sql_clipped("numbered", "f")}
+      SELECT n.true_ AS ordinal, c.s AS sequence, c.q AS quality, CAST(c.o AS INTEGER) AS phred_offset, c.h AS head_pos FROM fclipped c JOIN numbered n ON n.ordinal = c.ordinal"""
+
+
+def _sql_clip_pairs(select: str, palindrome: bool, keep_both: bool = False, steps: list[str] | None = None) -> str:
+    """Pairs after clipping, and after ``steps``; ``done`` is (ordinal, a, b)."""
+    pal = f", {_sql_palindrome()}" if palindrome else ""
+    one = "SELECT i, k FROM pal" if palindrome else None
+    two = ("SELECT i, k FROM pal" if keep_both else "SELECT i, 0 FROM pal") if palindrome else None
+    chain1, last1 = _sql_chain(steps, "fclipped", "a") if steps else ("none1 AS (SELECT 1)", "fclipped")
+    chain2, last2 = _sql_chain(steps, "rclipped", "b") if steps else ("none2 AS (SELECT 1)", "rclipped")
+    both = "pairs AS (SELECT row_number() OVER () AS i, r.ordinal, r.name AS n1, r.s AS s1, r.q AS q1, r.o AS o1, r.h AS h1, m.name AS n2, m.s AS s2, m.q AS q2, m.o AS o2, m.h AS h2 FROM reads r JOIN mates_ok m USING (ordinal))"
+    sides = "side1 AS (SELECT i AS ordinal, n1 AS name, s1 AS s, q1 AS q, o1 AS o, h1 AS h FROM pairs), side2 AS (SELECT i AS ordinal, n2 AS name, s2 AS s, q2 AS q, o2 AS o, h2 AS h FROM pairs)"
+    out = f"done AS (SELECT p.ordinal, x.s AS a, y.s AS b FROM pairs p LEFT JOIN {last1} x ON x.ordinal = p.i LEFT JOIN {last2} y ON y.ordinal = p.i)"
+    return f"""WITH {_START}, {_MATES}, {both}, {sides}, {_sql_simple("side1", "forward", "f")}, {_sql_simple("side2", "reverse", "r")}{pal},
+      {_sql_clipped("side1", "f", one)}, {_sql_clipped("side2", "r", two)}, {chain1}, {chain2}, {out} {select}"""
+
+
+_LENGTHS = "SELECT ordinal, CAST(coalesce(length(a), -1) AS INTEGER) AS length1, CAST(coalesce(length(b), -1) AS INTEGER) AS length2 FROM done"
+_PAIR_COUNTS = """SELECT count(*) AS input, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS both, count(*) FILTER (a IS NOT NULL AND b IS NULL) AS forward_only,
+      count(*) FILTER (a IS NULL AND b IS NOT NULL) AS reverse_only, count(*) FILTER (a IS NULL AND b IS NULL) AS dropped FROM done"""
 _CANONICAL = "CASE " + " ".join(f"WHEN regexp_matches(name, '{p.split('(')[2].split(')')[0]}') THEN regexp_replace(name, '{p}', '\\2')" for p in PATTERNS) + " END"
 _SIDES = ["TRAILING:20", "MINLEN:60"]
 _chain_sql, _chain_last = _sql_chain(CHAIN)
@@ -409,6 +484,10 @@ SQL: dict[str, str] = {
         CAST(coalesce(length(b.s) - x.h - length(x.s), 0) AS INTEGER) AS trim_tail FROM base b LEFT JOIN {_log_last} x ON x.ordinal = b.i""",
     "log_totals": """SELECT mate, count(*) AS reads, count(*) FILTER (length = 0) AS dropped, CAST(sum(length) AS BIGINT) AS bases, CAST(sum(start_pos) AS BIGINT) AS head, CAST(sum(trim_tail) AS BIGINT) AS tail
       FROM (SELECT ordinal, mate, max(length) AS length, max(trim_tail) AS trim_tail, max(start_pos) AS start_pos FROM trim_log GROUP BY ALL) GROUP BY mate""",
+    "clip_simple": _sql_clip_single(),
+    "clip_palindrome": _sql_clip_pairs(_LENGTHS, True),
+    "clip_keep_both": _sql_clip_pairs(_LENGTHS, True, True),
+    "chain_clip_pe": _sql_clip_pairs(_PAIR_COUNTS, False, steps=CHAIN),
     "barcode_split": f"""WITH {_START}, c AS (SELECT *, CASE WHEN starts_with(s, 'ACGT') THEN 'one' WHEN starts_with(s, 'ACG') THEN 'two' WHEN starts_with(s, 'TT') THEN 'three' WHEN starts_with(s, 'GATTA') THEN 'four' ELSE 'UNKNOWN' END AS label FROM reads),
       d AS (SELECT *, CASE label WHEN 'one' THEN 4 WHEN 'two' THEN 3 WHEN 'three' THEN 2 WHEN 'four' THEN 5 ELSE 0 END AS k FROM c) SELECT ordinal, label, CAST(length(s) - k AS INTEGER) AS length, CAST(h + k AS INTEGER) AS head_pos FROM d""",
     "barcode_mismatch": f"""WITH {_START} SELECT CASE WHEN length(s) >= 6 AND hamming(s[1:6], 'ACGTAC') <= 2 THEN 'one' WHEN length(s) >= 6 AND hamming(s[1:6], 'TTGATC') <= 2 THEN 'two' ELSE 'UNKNOWN' END AS label, count(*) AS n FROM reads GROUP BY 1""",
