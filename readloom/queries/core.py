@@ -387,12 +387,12 @@ def _sql_simple(source: str, side: str, tag: str) -> str:
       {tag}cut AS (SELECT ordinal, min(f) AS k FROM {tag}run WHERE list_max(list_transform(string_split(z, 'X'), lambda y: length(replace(y, '0', '')))) >= 17 GROUP BY ordinal)"""
 
 
-def _sql_palindrome() -> str:
+def _sql_palindrome(least: int) -> str:
     """CTEs ending in ``pal`` (i, k): the bases kept of pairs that read through, over ``pairs``; k is null without a match."""
     return f"""couple AS (SELECT p, right(x, p) AS x, right(y, p) AS y FROM (SELECT upper(f.sequence) AS x, upper(r.sequence) AS y, least(length(x), length(y)) AS p FROM adapters f
           JOIN adapters r ON f.side = 'forward' AND r.side = 'reverse' AND regexp_replace(f.name, '/[12]$', '') = regexp_replace(r.name, '/[12]$', ''))),
       laid AS (SELECT i, p, x || s1 AS a, y || s2 AS b, q1, q2, o1, o2, length(x || s1) AS la, length(y || s2) AS lb FROM pairs, couple),
-      steps AS (SELECT *, unnest(range(greatest(p - 16, 0), greatest(la, lb) - 23)) AS n FROM laid WHERE la - 15 > p AND lb - 15 > p),
+      steps AS (SELECT *, unnest(range(greatest(p - 16, 0), greatest(la, lb) - 15 - {least})) AS n FROM laid WHERE la - 15 > p AND lb - 15 > p),
       ways AS (SELECT *, least(n // 2 - greatest(p - 16, 0) // 2, least(la, lb) - 16 - p) AS up FROM steps),
       places AS (SELECT *, p + up AS ref, n - up AS test FROM ways),
       cmp AS (SELECT *, {_PLAIN.format("a")} AS pa, {_PLAIN.format("b")} AS pb FROM places),
@@ -418,9 +418,9 @@ def _sql_clip_single() -> str:
       SELECT n.true_ AS ordinal, c.s AS sequence, c.q AS quality, CAST(c.o AS INTEGER) AS phred_offset, c.h AS head_pos FROM fclipped c JOIN numbered n ON n.ordinal = c.ordinal"""
 
 
-def _sql_clip_pairs(select: str, palindrome: bool, keep_both: bool = False, steps: list[str] | None = None) -> str:
-    """Pairs after clipping, and after ``steps``; ``done`` is (ordinal, a, b)."""
-    pal = f", {_sql_palindrome()}" if palindrome else ""
+def _sql_clip_pairs(select: str, palindrome: int | None, keep_both: bool = False, steps: list[str] | None = None) -> str:
+    """Pairs after clipping, with read-through into prefixes of at least ``palindrome`` bases, and after ``steps``; ``done`` is (ordinal, a, b)."""
+    pal = f", {_sql_palindrome(palindrome)}" if palindrome else ""
     one = "SELECT i, k FROM pal" if palindrome else None
     two = ("SELECT i, k FROM pal" if keep_both else "SELECT i, 0 FROM pal") if palindrome else None
     chain1, last1 = _sql_chain(steps, "fclipped", "a") if steps else ("none1 AS (SELECT 1)", "fclipped")
@@ -485,9 +485,9 @@ SQL: dict[str, str] = {
     "log_totals": """SELECT mate, count(*) AS reads, count(*) FILTER (length = 0) AS dropped, CAST(sum(length) AS BIGINT) AS bases, CAST(sum(start_pos) AS BIGINT) AS head, CAST(sum(trim_tail) AS BIGINT) AS tail
       FROM (SELECT ordinal, mate, max(length) AS length, max(trim_tail) AS trim_tail, max(start_pos) AS start_pos FROM trim_log GROUP BY ALL) GROUP BY mate""",
     "clip_simple": _sql_clip_single(),
-    "clip_palindrome": _sql_clip_pairs(_LENGTHS, True),
-    "clip_keep_both": _sql_clip_pairs(_LENGTHS, True, True),
-    "chain_clip_pe": _sql_clip_pairs(_PAIR_COUNTS, False, steps=CHAIN),
+    "clip_palindrome": _sql_clip_pairs(_LENGTHS, 8),
+    "clip_keep_both": _sql_clip_pairs(_LENGTHS, 2, True),
+    "chain_clip_pe": _sql_clip_pairs(_PAIR_COUNTS, None, steps=CHAIN),
     "barcode_split": f"""WITH {_START}, c AS (SELECT *, CASE WHEN starts_with(s, 'ACGT') THEN 'one' WHEN starts_with(s, 'ACG') THEN 'two' WHEN starts_with(s, 'TT') THEN 'three' WHEN starts_with(s, 'GATTA') THEN 'four' ELSE 'UNKNOWN' END AS label FROM reads),
       d AS (SELECT *, CASE label WHEN 'one' THEN 4 WHEN 'two' THEN 3 WHEN 'three' THEN 2 WHEN 'four' THEN 5 ELSE 0 END AS k FROM c) SELECT ordinal, label, CAST(length(s) - k AS INTEGER) AS length, CAST(h + k AS INTEGER) AS head_pos FROM d""",
     "barcode_mismatch": f"""WITH {_START} SELECT CASE WHEN length(s) >= 6 AND hamming(s[1:6], 'ACGTAC') <= 2 THEN 'one' WHEN length(s) >= 6 AND hamming(s[1:6], 'TTGATC') <= 2 THEN 'two' ELSE 'UNKNOWN' END AS label, count(*) AS n FROM reads GROUP BY 1""",
