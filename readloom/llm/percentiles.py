@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from readloom.session import materialize
+from readloom.session import broadcast_if_small, materialize
 
 DIGIT_BITS = 16
+WORTH = 8  # how many times fewer the rows that later passes need must be to be written down
 
 
 @F.arrow_udf(T.LongType())
@@ -71,7 +72,8 @@ def radix_select(pieces: DataFrame, groups: list[str], pcts: list[float], digit_
     From the highest digit down, each pass histograms one digit of the keys that share the
     digits found so far and follows the digit in which the target rank lies; 64 / digit_bits
     passes end at the exact key. Every histogram has at most 2**digit_bits bins for a group
-    and target, and is combined before the shuffle; no group is ever sorted or collected.
+    and target, and is combined before the shuffle; no group is ever sorted or collected. A pass reads
+    the pieces once; as soon as the rows that later passes need are ``WORTH`` times fewer, these are written down and read instead.
     Groups of null are groups; a percentile of 0 is the smallest key.
     """
     if any(not 0 <= p <= 100 for p in pcts):
@@ -79,30 +81,42 @@ def radix_select(pieces: DataFrame, groups: list[str], pcts: list[float], digit_
     names = [f"g{i}" for i in range(len(groups))]
     # flipping the sign bit makes unsigned order the order of the keys
     base = pieces.select(*[F.col(g).alias(a) for g, a in zip(groups, names)], F.col("key").bitwiseXOR(F.lit(-(2**63))).alias("u"), "n")
-    totals = base.groupBy(*names).agg(F.sum("n").alias("total"))
     # ranks in exact decimal arithmetic, percentiles to six places
     steps = F.explode(F.array(*[F.lit(round(p * 1_000_000)) for p in sorted(set(pcts))]))
     rank = F.greatest(F.lit(1), F.ceil(F.col("total").cast("decimal(20,0)") * F.col("micro").cast("decimal(9,0)") / F.lit(100_000_000).cast("decimal(9,0)"))).cast("long")
-    want = totals.select("*", steps.alias("micro")).select(*names, "micro", rank.alias("rank"), F.lit(0).cast("long").alias("prefix"))
-    for done in range(0, 64, digit_bits):
-        # a row per group and percentile: written down, each pass plans against its true size
-        want = materialize(want, f"targets{done}")
+    inside = (F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("c"))
+    found = [(F.col("rank") - (F.col("upto") - F.col("c"))).alias("rank"), F.shiftleft("prefix", digit_bits).bitwiseOR(F.col("digit")).alias("prefix"), "c", "total"]
+
+    def histogram(rows: DataFrame, done: int) -> DataFrame:
         at = F.shiftrightunsigned("u", 64 - done) if done else F.lit(0).cast("long")
         digit = F.shiftrightunsigned("u", 64 - done - digit_bits).bitwiseAND(F.lit((1 << digit_bits) - 1))
-        followed = want.select(*[F.col(a).alias(f"w_{a}") for a in names], F.col("prefix").alias("w_p")).distinct()
-        same = at == F.col("w_p")
+        upto = Window.partitionBy(*names, "p").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
+        hist = rows.groupBy(*names, at.alias("p"), digit.alias("digit")).agg(F.sum("n").alias("c"))
+        return hist.withColumn("upto", F.sum("c").over(upto))
+
+    whole = histogram(base, 0).withColumn("total", F.sum("c").over(Window.partitionBy(*names))).withColumn("prefix", F.col("p"))
+    want = whole.select("*", steps.alias("micro")).withColumn("rank", rank).where(inside).select(*names, "micro", *found)
+    kept = None
+    for done in range(digit_bits, 64, digit_bits):
+        # a row per group and percentile: written down, each pass plans against its true size
+        want = materialize(want, f"targets{done}")
+        followed = want.select(*[F.col(a).alias(f"w_{a}") for a in names], F.col("prefix").alias("w_p"), "c").distinct()
+        many, left = followed.agg(F.count(F.lit(1)), F.sum("c")).first()
+        if kept is None:
+            kept = want.select(*names, "total").distinct().agg(F.sum("total")).first()[0] or 0
+        same = F.shiftrightunsigned("u", 64 - done) == F.col("w_p")
         for a in names:
             same = same & F.col(a).eqNullSafe(F.col(f"w_{a}"))
-        hist = base.join(followed, same, "left_semi") if done else base
-        hist = hist.groupBy(*names, at.alias("p"), digit.alias("digit")).agg(F.sum("n").alias("c"))
-        upto = Window.partitionBy(*names, "p").orderBy("digit")
-        hist = hist.withColumn("upto", F.sum("c").over(upto.rowsBetween(Window.unboundedPreceding, 0))).withColumnsRenamed({a: f"h_{a}" for a in names})
-        hit = (F.col("prefix") == F.col("p")) & (F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("c"))
+        rows = base.join(broadcast_if_small(followed.drop("c"), 100, many), same, "left_semi")
+        if left and left * WORTH <= kept:
+            # the rows that later passes need are few: written down, the source is not read again
+            rows = base = materialize(rows, f"followed{done}")
+            kept = left
+        hist = histogram(rows, done).withColumnsRenamed({a: f"h_{a}" for a in names})
+        hit = (F.col("prefix") == F.col("p")) & inside
         for a in names:
             hit = hit & F.col(a).eqNullSafe(F.col(f"h_{a}"))
-        want = want.join(hist, hit).select(
-            *names, "micro", (F.col("rank") - (F.col("upto") - F.col("c"))).alias("rank"), F.shiftleft("prefix", digit_bits).bitwiseOR(F.col("digit")).alias("prefix")
-        )
+        want = want.drop("c").join(hist, hit).select(*names, "micro", *found)
     return want.select(*[F.col(a).alias(g) for g, a in zip(groups, names)], (F.col("micro") / 1_000_000).alias("pct"), F.col("prefix").bitwiseXOR(F.lit(-(2**63))).alias("key"))
 
 
@@ -113,10 +127,12 @@ def radix_percentiles(df: DataFrame, groups: list[str], value: str, pcts: list[f
     values are at most v. Null values do not count, and a group of nulls alone has no
     row; NaN is larger than every number and -0.0 equals 0.0; decimals are compared as
     doubles. Groups of null are groups. An empty table gives no rows. Other columns are
-    not read. Counts of equal values are combined before the first shuffle.
+    not read. Each pass reads the rows and counts one digit of them before anything is shuffled, so that
+    at most 2**digit_bits counts for a group and target travel, however many values differ.
     """
     kind = df.schema[value].dataType
-    picked = radix_select(percentile_pieces(df, groups, value), groups, pcts, digit_bits)
+    rows = df.select(*groups, order_key(F.col(value), kind).alias("key"), F.lit(1).cast("long").alias("n")).where("key IS NOT NULL")
+    picked = radix_select(rows, groups, pcts, digit_bits)
     return picked.select(*groups, "pct", from_order_key(F.col("key"), kind).alias("value"))
 
 

@@ -39,6 +39,22 @@ def test_cases(spark):
         radix_select(percentile_pieces(df, ["g"], "x"), ["g"], [101])
 
 
+def test_scans(spark):
+    """Each digit reads the rows once at most, and what later digits need is written down when it is little."""
+    for spread, most in ((lambda i: float(i * i), 2), (lambda i: float(i % 3), 4)):
+        read = spark.sparkContext.accumulator(0)
+
+        def counted(batches, read=read):
+            for b in batches:
+                read.add(b.num_rows)
+                yield b
+
+        df = spark.createDataFrame([(i % 2, spread(i)) for i in range(4000)], "g int, x double").mapInArrow(counted, "g int, x double")
+        got = {(r["g"], r["pct"]): r["value"] for r in radix_percentiles(df, ["g"], "x", [50]).collect()}
+        assert got == {(g, 50): exact([spread(i) for i in range(4000) if i % 2 == g], 50) for g in (0, 1)}
+        assert read.value <= most * 4000
+
+
 def test_pieces_merge_with_bounded_error(spark):
     rnd = random.Random(2)
     days = [[rnd.lognormvariate(0, 3) for _ in range(500)] for _ in range(3)]
