@@ -27,9 +27,10 @@ KMERS_SQL, MET_SQL, PAIR_SQL = "bucket int, sig binary, rep binary, rank binary,
 TILE = 1024  # sets of a large group that are paired with each other at a time
 
 
-def classes(df: DataFrame, key: str, text: Column) -> DataFrame:
-    """One row ``(rep, seq)`` per distinct non-null text; ``rep`` is its least key."""
-    return df.select(F.col(key).alias("k"), text.alias("seq")).where("seq IS NOT NULL").groupBy("seq").agg(F.min("k").alias("rep")).select("rep", "seq")
+def classes(df: DataFrame, text: Column) -> DataFrame:
+    """One row ``(rep, seq)`` per distinct non-null text, written down; ``rep`` numbers the texts, with gaps."""
+    seqs = df.select(text.alias("seq")).where("seq IS NOT NULL").distinct()
+    return materialize(seqs.select(F.monotonically_increasing_id().alias("rep"), "seq"), "classes")
 
 
 def _sets(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -273,7 +274,7 @@ def near_duplicates(df: DataFrame, key: str, text: Column, gamma: float = 0.5, l
     band (factor ``gamma``) are dropped where k-mers meet. Copies of a text are one class and are
     expanded only into the resulting pairs.
     """
-    texts = materialize(classes(df.where(F.col(key).isNotNull()), key, text), "classes")
+    texts = classes(df.where(F.col(key).isNotNull()), text)
     found = materialize(similar_classes(texts, gamma, least, k, hot), "similar")
     member = members(df, key, text, texts, found.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
     a = member.select(F.col("rep").alias("a"), F.col("key").alias("ka"))

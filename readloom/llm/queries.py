@@ -14,7 +14,7 @@ from readloom.llm.leaks import near_passages, shared_passages
 from readloom.llm.mixing import mix_sources
 from readloom.llm.near_duplicates import near_duplicates
 from readloom.llm.percentiles import base_quality_pieces, radix_percentiles, radix_select
-from readloom.llm.shared_spans import shared_by_record
+from readloom.llm.shared_spans import shared_by_record, stretches_by_record
 from readloom.operators.keyed import once_per_key
 from readloom.session import materialize, table
 
@@ -64,6 +64,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_by_record(reads, "ordinal", normal_sequence(F.col("sequence")), forward, 0.5).select(F.col("key").alias("ordinal"))
 
 
+def p5_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The maximal shared stretches of every read and their places."""
+    reads = table(spark, sf_dir, "fastq_reads")
+    forward = table(spark, sf_dir, "adapters").where("side = 'forward'").select(F.upper("sequence").alias("seq"))
+    return stretches_by_record(reads, "ordinal", normal_sequence(F.col("sequence")), forward).withColumnRenamed("key", "ordinal")
+
+
 def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_passages(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
 
@@ -108,7 +115,7 @@ def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_top, p2_found, p4_found, p4_percentiles, p4_prices, p5_found, p6_found, p6_passages, p6_near, p7_found, p7_report, p7_mix, p8_found, p8_segments)
+    f.__name__: f for f in (p1_found, p1_top, p2_found, p4_found, p4_percentiles, p4_prices, p5_found, p5_spans, p6_found, p6_passages, p6_near, p7_found, p7_report, p7_mix, p8_found, p8_segments)
 }
 
 _READS = "SELECT ordinal, upper(translate(any_value(sequence), 'uU.', 'tTN')) AS s FROM fastq_reads WHERE sequence IS NOT NULL GROUP BY ordinal"
@@ -121,6 +128,11 @@ _BASES = """
  p AS (SELECT run_id, lane, pct, min(v) AS value FROM u, (SELECT unnest([10, 25, 50, 75, 90]) AS pct) WHERE upto * 100 >= pct * total GROUP BY ALL)"""
 
 _CLASSES = f"reads AS ({_READS}), classes AS (SELECT s, min(ordinal) AS rep FROM reads GROUP BY s)"
+#: The starts of shared spans in each class and the next of them.
+_SPOTS = f"""{_CLASSES}, w AS (SELECT rep, i, s[i:i + 31] AS w FROM (SELECT rep, s, unnest(range(1, length(s) - 30)) AS i FROM classes)),
+      ad AS (SELECT -1 AS rep, unnest(list_transform(range(1, length(sequence) - 30), lambda i: upper(sequence)[i:i + 31])) AS w FROM adapters WHERE side = 'forward'),
+      shared AS (SELECT w FROM (SELECT rep, w FROM w UNION ALL SELECT rep, w FROM ad) WHERE regexp_full_match(w, '[ACGT]+') GROUP BY w HAVING count(DISTINCT rep) > 1),
+      spots AS (SELECT rep, i, lead(i) OVER (PARTITION BY rep ORDER BY i) AS next FROM w WHERE w IN (SELECT w FROM shared))"""
 #: What `words` does, with the entities that the test tables hold.
 _PLAIN = "lower(replace(replace(replace(replace(regexp_replace({text}, '<[^<>]*>|\\[/?[a-z]+\\]|\\[[a-z]+=[^\\]]*\\]', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'))"
 _WORDS = f"regexp_extract_all({_PLAIN}, '[\\p{{{{L}}}}\\p{{{{N}}}}]+')"
@@ -137,12 +149,11 @@ SQL: dict[str, str] = {
       pairs AS (SELECT a.rep AS a, b.rep AS b FROM big a JOIN big b ON a.k = b.k AND a.rep < b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING 2 * count(*) >= a.n + b.n - count(*)),
       m AS (SELECT rep, ordinal FROM classes JOIN reads USING (s))
       SELECT least(x.ordinal, y.ordinal) AS ordinal_a, greatest(x.ordinal, y.ordinal) AS ordinal_b FROM pairs JOIN m x ON x.rep = a JOIN m y ON y.rep = b""",
-    "p5_found": f"""WITH {_CLASSES}, w AS (SELECT rep, i, s[i:i + 31] AS w FROM (SELECT rep, s, unnest(range(1, length(s) - 30)) AS i FROM classes)),
-      ad AS (SELECT -1 AS rep, unnest(list_transform(range(1, length(sequence) - 30), lambda i: upper(sequence)[i:i + 31])) AS w FROM adapters WHERE side = 'forward'),
-      shared AS (SELECT w FROM (SELECT rep, w FROM w UNION ALL SELECT rep, w FROM ad) WHERE regexp_full_match(w, '[ACGT]+') GROUP BY w HAVING count(DISTINCT rep) > 1),
-      spots AS (SELECT rep, least(32, coalesce(lead(i) OVER (PARTITION BY rep ORDER BY i) - i, 32)) AS bases FROM w WHERE w IN (SELECT w FROM shared)),
-      c AS (SELECT rep, sum(bases) AS n FROM spots GROUP BY rep)
+    "p5_found": f"""WITH {_SPOTS}, c AS (SELECT rep, sum(least(32, coalesce(next - i, 32))) AS n FROM spots GROUP BY rep)
       SELECT ordinal FROM c JOIN classes USING (rep) JOIN reads USING (s) WHERE 2 * n >= length(s)""",
+    "p5_spans": f"""WITH {_SPOTS}, b AS (SELECT rep, i, CASE WHEN i - lag(i) OVER (PARTITION BY rep ORDER BY i) <= 32 THEN 0 ELSE 1 END AS new FROM spots),
+      g AS (SELECT rep, i, sum(new) OVER (PARTITION BY rep ORDER BY i) AS g FROM b)
+      SELECT ordinal, min(i) - 1 AS "begin", max(i) + 32 - min(i) AS bases FROM g JOIN classes USING (rep) JOIN reads USING (s) GROUP BY ordinal, g""",
     "p6_found": f"WITH d AS ({_grams('doc_id', 'documents')}), e AS ({_grams('item_id', 'eval_items')}) SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (g)",
     "p1_found": f"WITH r AS ({_READS}) SELECT s AS sequence FROM r GROUP BY s HAVING count(*) * 1000 >= 5 * (SELECT count(*) FROM r)",
     "p1_top": f"SELECT s AS sequence, count(*) AS n FROM ({_READS}) GROUP BY s ORDER BY n DESC, s LIMIT 10",
