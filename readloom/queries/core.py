@@ -249,6 +249,12 @@ def p3_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_records(table(spark, sf_dir, "raw_records"), "raw_id").where("reason IS NULL").select("raw_id", "read.*")
 
 
+def p3_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every record that fails for its quotes, delimiters or line ends."""
+    bad = parse_records(table(spark, sf_dir, "raw_records"), "raw_id").where("cost > 0")
+    return bad.select("raw_id", "reason", "cost", F.concat_ws("; ", "edits").alias("edits"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "leading": _step("LEADING:20"),
     "trailing": _step("TRAILING:20"),
@@ -269,7 +275,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         f.__name__: f
         for f in (
             slot_crops, clip_simple, clip_palindrome, clip_keep_both, barcode_split, barcode_mismatch, pair_zip, pair_route, pair_validate, name_canonical, repair_names, repair_split, repair_check,
-            stats_se, stats_pe, log_se, log_totals, phred_detect, revcomp, normal, quality_sums, chain_pe, chain_clip_pe, fastq_round_trip, stream_stats, stream_stats_whole, p3_found, p3_loaded,
+            stats_se, stats_pe, log_se, log_totals, phred_detect, revcomp, normal, quality_sums, chain_pe, chain_clip_pe, fastq_round_trip, stream_stats, stream_stats_whole, p3_found, p3_loaded, p3_edits,
         )
     },
 }

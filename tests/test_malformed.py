@@ -1,8 +1,11 @@
 import random
+import re
 
 import pytest
 
-from readloom.operators.malformed import least_edits, parse_free, parse_record, parse_records
+from pyspark.sql import functions as F
+
+from readloom.operators.malformed import _plain_read, least_edits, least_line_edits, parse_free, parse_record, parse_records
 
 
 def brute(text, fields):
@@ -24,15 +27,15 @@ def apply(text, ops):
     """The text after the told edits."""
     out, done = [], 0
     for op in ops:
-        what, mark, _, at = op.split()
-        at, char = int(at), '"' if mark == "quote" else ","
+        what, mark, *_, at = op.split()
+        at, char = int(at), {"quote": '"', "delimiter": ",", "line": "\n"}[mark]
         out.append(text[done:at])
         done = at
         if what == "insert":
             out.append(char)
         else:
-            assert text[at] == char
-            done = at + 1
+            assert text[at] == char or text[at : at + 2] == "\r\n" and char == "\n"
+            done = at + 1 + (text[at] == "\r")
     return "".join(out) + text[done:]
 
 
@@ -49,6 +52,55 @@ def test_cheapest_edits():
                 assert cost == brute(text, fields)
 
 
+def test_edits_look_at_types():
+    """Of equally cheap edits those are told that leave fields of their types."""
+    assert least_edits("r1,ACGT,IIII", 4) == (1, ["insert delimiter at 7"])
+    assert least_edits("r1:ACGT,,IIII", 4) == (1, ["insert delimiter at 3"])
+    assert least_edits("r,1,ACGT,,IIII", 4) == (1, ["delete delimiter at 1"])
+    assert least_line_edits("@r1\nACGT+\nIIII\n") == (1, ["insert line end at 8"])
+    assert least_line_edits("@r1\nAC\r\nGT\n+\nIIII") == (1, ["delete line end at 6"])
+    assert least_line_edits("@r1\nACGT\n+\nII\nII\n\n") == (2, ["delete line end at 13", "delete line end at 16"])
+    cost, ops = least_line_edits("x\n" * 60)
+    assert cost == len(ops) == 56
+
+
+def test_cheapest_line_ends():
+    rnd = random.Random(2)
+    for _ in range(400):
+        text = "".join(rnd.choice(["@", "+", "A", "x", "\n", "\r\n"]) for _ in range(rnd.randint(1, 12)))
+        cost, ops = least_line_edits(text)
+        lines = lambda t: len(re.split(r"\r?\n", re.sub(r"\r?\n\Z", "", t)))
+        assert cost == len(ops) == abs(lines(text) - 4)
+        last = re.search(r"\r?\n\Z", text)
+        body = text[: last.start()] if last else text
+        assert len(re.split(r"\r?\n", apply(body, ops))) == 4
+
+
+def test_plain_reads_are_those_of_the_program(spark):
+    """What the JVM loads is what the program loads at no cost, of all records without quotes and many with."""
+    rnd = random.Random(3)
+    data = []
+    for i in range(600):
+        csv = rnd.random() < 0.5
+        n = rnd.choice([3, 3, 3, 1])
+        parts = [rnd.choice(["r", "", "@r", "a b"]), rnd.choice(["ACG", "acg", "ACG", "AX", "é"])[:n], rnd.choice(["", "c", "+", "x\r"]), rnd.choice(["III", "!J5", "hhh", "K~ "])[:3]]
+        text = ",".join(rnd.choice(['"{}"', "{}", "{}", "{}"]).format(x) for x in parts) if csv else rnd.choice(["\n", "\r\n"]).join([rnd.choice(["@", "@", ""]) + parts[0], parts[1], rnd.choice(["+", "+", "-"]) + parts[2], parts[3]])
+        data.append((i, "csv" if csv else "fastq", rnd.choice([33, 64, 50, None]), text + rnd.choice(["", "", "\n", ",", "\r\n\n"])))
+    df = spark.createDataFrame(data, "id long, layout string, phred_offset int, payload string")
+    plain = {r[0]: r[1] for r in df.select("id", _plain_read(F.col("payload"), F.col("layout"), F.col("phred_offset"))).collect()}
+    whole = {r["id"]: r for r in parse_records(df, "id").collect()}
+    loaded = 0
+    for i, layout, offset, text in data:
+        reason, cost, edits, fields = parse_record(text, layout, offset)
+        assert (whole[i]["reason"], whole[i]["cost"], whole[i]["edits"], whole[i]["read"] and list(whole[i]["read"])) == (reason, cost, edits, None if reason else fields)
+        if plain[i]:
+            assert list(plain[i]) == fields
+            loaded += 1
+        else:
+            assert reason or '"' in text or offset == 50
+    assert loaded > 20
+
+
 @pytest.mark.parametrize(
     "payload, layout, reason",
     [
