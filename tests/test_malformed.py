@@ -80,7 +80,7 @@ def test_plain_reads_are_those_of_the_program(spark):
     """What the JVM loads is what the program loads at no cost, of all records without quotes and many with."""
     rnd = random.Random(3)
     data = []
-    for i in range(600):
+    for i in range(4000):
         csv = rnd.random() < 0.5
         n = rnd.choice([3, 3, 3, 1])
         parts = [rnd.choice(["r", "", "@r", "a b"]), rnd.choice(["ACG", "acg", "ACG", "AX", "é"])[:n], rnd.choice(["", "c", "+", "x\r"]), rnd.choice(["III", "!J5", "hhh", "K~ "])[:3]]
