@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+
+BASES = 4_000_000  # bases that are read at a time
 
 _CODES = np.full(256, 4, np.uint8)
 _CODES[np.frombuffer(b"ACGT", np.uint8)] = [0, 1, 2, 3]
@@ -51,3 +56,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0xC4CEB9FE1A85EC53)
     x ^= x >> np.uint64(33)
     return x
+
+
+def by_size(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Pieces of a batch that hold a bounded number of bases, or one record: Arrow batches are bounded in rows."""
+    if not batch.num_rows:
+        return
+    group = np.cumsum(np.fromiter(map(len, batch.column("seq").to_pylist()), np.int64, batch.num_rows)) // BASES
+    cut = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    for a, b in zip(cut, np.append(cut[1:], len(group))):
+        yield batch.slice(a, b - a)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.kmers import encode, mix, windows
+from readloom.llm.kmers import by_size, encode, mix, windows
 from readloom.llm.near_duplicates import classes, members
 from readloom.session import broadcast_if_small, materialize
 
@@ -20,7 +20,6 @@ EXTRA = -(2**63)  # stands for all texts of the extra table
 PROBE_ROWS = 200_000  # rows of the sample in which such anchors are looked for
 PROBE_LEAST = 50  # rows that an anchor must have in it
 WORD = 32  # bases in a 64-bit integer
-BASES = 4_000_000  # bases that are read at a time
 LAID = 1_000_000  # bases around anchors that are laid out at a time
 
 ANCHORS = pa.schema([("anchor", pa.int32()), ("rep", pa.int64()), ("pos", pa.int32()), ("left", pa.int32()), ("right", pa.int32()), ("around", pa.binary())])
@@ -30,15 +29,6 @@ FOUND = pa.schema([("rep", pa.int64()), ("start", pa.int32()), ("stop", pa.int32
 FOUND_SQL = "rep long, start int, stop int, anchor int, left int, right int, around binary"
 
 
-def _by_size(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Pieces of a batch that hold a bounded number of bases, or one record."""
-    size = np.cumsum(np.fromiter(map(len, batch.column("seq").to_pylist()), np.int64, batch.num_rows))
-    group = size // BASES
-    cut = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(size) else []
-    for a, b in zip(cut, np.append(cut[1:], len(size))):
-        yield batch.slice(a, b - a)
-
-
 def _anchors(span: int):
     """Winnowed 16-mers with the ``span`` - 16 bases on either side and how many of those are known.
 
@@ -49,7 +39,7 @@ def _anchors(span: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _by_size(whole):
+            for batch in by_size(whole):
                 codes, start, _ = encode(batch.column("seq").to_pylist())
                 n = len(codes) - span + 1
                 if n <= 0:

@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from readloom.llm.near_duplicates import near_duplicates
+from readloom.llm.near_duplicates import KMERS, Bands, _by_bucket, _narrow, _packed, _pairs_in_parts, _wide, near_duplicates
 
 
 def kmers(s, k=12):
@@ -118,3 +120,65 @@ def test_short_reads(spark):
     want = brute(rows)
     assert len(want) > 200
     assert run(spark, rows) == want
+
+
+@pytest.mark.parametrize("gamma", [0.1, 0.2, 0.5, 0.8, 1.0])
+def test_similarities(spark, gamma):
+    """Any similarity, over random reads, tandem repeats and reads with adapters, long and short."""
+    rnd, rows = random.Random(6), []
+    for kind in range(3):
+        for _ in range(30):
+            n = rnd.choice((31, 45, 60, 100, 300))
+            unit = "".join(rnd.choices("ACGT", k=rnd.choice((7, 20)) if kind == 1 else n))
+            base = (unit * n)[:n] + ("CTAGGACTTCAGGATTCGCAACTGATCC" if kind == 2 else "")
+            for _ in range(3):
+                at = rnd.randint(0, 9)
+                rows.append((len(rows), edited(rnd, base, rnd.randint(0, 4))[at:]))
+    want = brute(rows, gamma)
+    assert want or gamma == 1.0
+    assert run(spark, rows, gamma=gamma) == want
+
+
+def test_family(spark):
+    """Many texts near to one text and to each other."""
+    rnd = random.Random(7)
+    base = "".join(rnd.choices("ACGT", k=90))
+    rows = [(i, edited(rnd, base, rnd.randint(1, 4))) for i in range(500)]
+    want = brute(rows)
+    assert len(want) > 30_000
+    assert run(spark, rows) == want
+
+
+def test_packing():
+    rnd = np.random.default_rng(1)
+    for top in (1, 200, 60_000, 10_000_000, 2**40, 2**62):
+        x = rnd.integers(0, top, 50)
+        assert (_wide(_narrow(x)) == x).all()
+    bucket, sig = np.array([0, 0, 2]), np.array([5, 2**40, 7])
+    batch = _packed(bucket, [sig, np.array([9, -1, 2**62])], KMERS)
+    got = list(_by_bucket([batch]))
+    assert [(b, [x.tolist() for x in c]) for b, c in got] == [(0, [[5, 2**40], [9, -1]]), (2, [[7], [2**62]])]
+
+
+def test_every_similar_pair_has_a_signature():
+    """The bound behind the signatures, on sets at the edge of the similarity."""
+    rnd = np.random.default_rng(2)
+    bands = Bands(0.5, 20, 200)
+    for _ in range(300):
+        n = int(rnd.integers(20, 160))
+        m = int(rnd.integers(n, min(2 * n, 160) + 1))
+        c = int(np.ceil((m + n) / 3))
+        if c > n:
+            continue
+        tokens = np.sort(rnd.choice(1 << 24, m + n - c, replace=False).astype(np.uint64))
+        mixed = rnd.permutation(m + n - c)
+        sets = [np.sort(tokens[mixed[:m]]), np.sort(tokens[np.append(mixed[:c], mixed[m:])])]
+        band = max(b for b, low in enumerate(bands.low) if low <= m)
+        parts = int(bands.parts[band])
+        found = []
+        for x in sets:
+            least = int(bands.common(band, np.array([len(x)]))[0])
+            assert 0 < least <= c
+            x = x[: len(x) - least + parts + 1]
+            found.append(set(_pairs_in_parts(np.zeros(len(x), np.int64), x, parts, band)[1].tolist()))
+        assert found[0] & found[1]
