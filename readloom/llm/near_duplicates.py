@@ -16,6 +16,8 @@ from readloom.session import broadcast_if_small, materialize
 K = 12
 FULL = 0.7  # share of the common k-mers of a band that may be without a signature: its number of parts
 LEAST_PARTS = 5  # parts from which pairs of k-mers are fewer than is worth their while
+MEETINGS = 2  # signatures that two sets must have in common
+INNER = 4  # bases of the least substring of a k-mer, which places it in a part
 LEAST_COMMON = 3  # common k-mers that are asked for among the rarest of two sets that hold many frequent ones
 HOT_TEXTS = 8  # texts of the sample that hold a k-mer that counts as frequent; this changes the cost, never the result
 HOT = 1 << 18  # most frequent k-mers of the sample that are told apart; so does this
@@ -155,21 +157,35 @@ class Bands:
         return np.where(fit, _overlap(size + partner, self.gamma), 0)
 
 
-def _pairs_in_parts(row: np.ndarray, token: np.ndarray, parts: int, band: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) for every two tokens of a row that lie in one part."""
-    part = (mix(token ^ np.uint64(0x5BD1E995)) % np.uint64(parts)).astype(np.int64)
-    group = row * parts + part
-    by = np.lexsort((token, group))
-    group, token, row = group[by], token[by], row[by]
+def _part(kmer: np.ndarray, parts: int, k: int) -> np.ndarray:
+    """The part of each k-mer: that of its substring of least hash, moved on by the place of this.
+
+    Any cut of the domain will do. In this one neighbours in a text mostly hold the same substring at different places and so
+    lie in different parts: two k-mers that overlap tell little more than one.
+    """
+    m = min(INNER, k)
+    order = mix(np.arange(4**m, dtype=np.uint64)) >> np.uint64(40)
+    least = np.full(len(kmer), np.iinfo(np.int64).max)
+    for at in range(k - m + 1):
+        inner = (kmer >> np.uint64(2 * at)) & np.uint64(4**m - 1)
+        least = np.minimum(least, (order[inner.astype(np.int64)].astype(np.int64) << 8) | at)
+    return ((least >> 8) + (least & 255)) % parts
+
+
+def _pairs_in_parts(row: np.ndarray, kmer: np.ndarray, parts: int, band: int, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+    """(row, signature) for every two k-mers of a row that lie in one part."""
+    group = row * parts + _part(kmer, parts, k)
+    by = np.lexsort((kmer, group))
+    group, kmer, row = group[by], kmer[by], row[by]
     rows, sigs = [], []
     far, at = 1, np.arange(len(group))
     while len(at):
         at = at[at + far < len(group)]
         at = at[group[at] == group[at + far]]
         rows.append(row[at])
-        sigs.append(mix(mix(token[at] + (np.uint64(band + 1) << np.uint64(56))) + token[at + far]))
+        sigs.append(mix(mix(kmer[at] + (np.uint64(band + 1) << np.uint64(56))) + kmer[at + far]))
         far += 1
-    return np.concatenate(rows) if rows else row, np.concatenate(sigs) if sigs else token
+    return np.concatenate(rows) if rows else row, np.concatenate(sigs) if sigs else kmer
 
 
 def _signatures(k: int, bands: Bands, common: int, plan: tuple[int, int, int], frequent):
@@ -192,24 +208,26 @@ def _signatures(k: int, bands: Bands, common: int, plan: tuple[int, int, int], f
         reps = batch.column("rep").to_numpy()
         row, kmer, sizes = _sets(batch.column("seq").to_pylist(), k)
         on = sizes[row] >= bands.least
-        row, sig = row[on], _scramble(kmer[on], k)
+        row, kmer = row[on], kmer[on]
+        sig = _scramble(kmer, k)
         if not len(row):
             return
         rare = level[sig & np.uint64((1 << SLOT_BITS) - 1)]
         cold = rare < LEVEL
         hot = np.bincount(row[~cold], minlength=len(reps))
-        crow, csig = row[cold], sig[cold]
+        crow, ckmer = row[cold], kmer[cold]
         crank = np.arange(len(crow)) - np.searchsorted(crow, crow)
         single = np.zeros(len(reps), bool)
         rows, sigs = [], []
         for band, parts in enumerate(bands.parts.tolist()):
             c = bands.common(band, sizes)
             there = c > 0
-            # of ``parts`` + 1 common k-mers two lie in one part; sets of which so many may be frequent meet by single k-mers
-            single |= there & ((hot >= c - parts) | (parts == 0))
+            # of ``enough`` common k-mers some pairs lie in one part; sets of which so many may be frequent meet by single k-mers
+            enough = parts + MEETINGS
+            single |= there & ((hot > c - enough) | (parts == 0))
             if parts:
-                take = there[crow] & (crank < (sizes - c + parts + 1)[crow])
-                r, s = _pairs_in_parts(crow[take], csig[take], parts, band)
+                take = there[crow] & (crank < (sizes - c + enough)[crow])
+                r, s = _pairs_in_parts(crow[take], ckmer[take], parts, band, k)
                 rows.append(r)
                 sigs.append(s)
         r, s = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (rows, sigs))
@@ -287,11 +305,7 @@ def _meet(gamma: float, common: int, plan: tuple[int, int, int], buckets: int):
             a, b = (np.concatenate([p.column(c).to_numpy() for p in pieces]) for c in (0, 1))
             bucket = (mix(a.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
             by = np.lexsort((b, a, bucket))
-            a, b, bucket = a[by], b[by], bucket[by]
-            if sure:
-                new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-                a, b, bucket = a[new], b[new], bucket[new]
-            return _packed(bucket if sure else bucket + buckets, [a, b], MET)
+            return _packed(bucket[by] + (0 if sure else buckets), [a[by], b[by]], MET)
 
         for of, columns in _by_bucket(batches):
             by = np.argsort(columns[0])
@@ -312,14 +326,14 @@ def _meet(gamma: float, common: int, plan: tuple[int, int, int], buckets: int):
 
 
 def _often(common: int, buckets: int):
-    """The pairs that have met in two k-mers of a part, or in ``common`` single ones."""
+    """The pairs that have met in ``MEETINGS`` signatures of two k-mers, or in ``common`` single ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for of, (a, b) in _by_bucket(batches):
             by = np.lexsort((b, a))
             a, b = a[by], b[by]
             start = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-            at = start[np.diff(np.append(start, len(a))) >= (1 if of < buckets else common)]
+            at = start[np.diff(np.append(start, len(a))) >= (MEETINGS if of < buckets else common)]
             yield pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at])], schema=PAIR)
 
     return run
@@ -387,12 +401,13 @@ def near_duplicates(df: DataFrame, key: str, text: Column, gamma: float = 0.5, l
 
     Method: PartEnum signatures over the distinct texts, complete for every set and ``gamma``. Pairs of sets belong to
     bands of sizes. Of two similar sets of sizes m and n, c = ceil(gamma / (1 + gamma) * (m + n)) k-mers or more are common,
-    so at most m - c of the one and n - c of the other are not, and the first P + 1 common ones, in any order of all k-mers, stand among
-    the first m - c + P + 1 and n - c + P + 1. The domain of k-mers is cut into P parts, fewer than the common k-mers of the band:
-    two of the P + 1 lie in one part, and every two k-mers of a part are a signature. It names two k-mers, so sets that share nothing else hardly ever meet.
+    so at most m - c of the one and n - c of the other are not, and the first P + w common ones, in any order of all k-mers, stand among
+    the first m - c + P + w and n - c + P + w. The domain of k-mers is cut into P parts, fewer than the common k-mers of the band:
+    among P + w k-mers w pairs or more lie in one part each, and every two k-mers of a part are a signature. Sets that
+    have w = ``MEETINGS`` signatures in common are candidates. A signature names two k-mers, so sets that share little else hardly ever meet in so many.
 
     K-mers that a sample holds often (adapters, tails) would bring half a table together and have no signatures. Two sets may then
-    be without one only if each holds at least c - P frequent k-mers; such sets also meet by a prefix filter over single
+    be without enough of them only if each holds more than c - P - w frequent k-mers; such sets also meet by a prefix filter over single
     k-mers, the rarest first: the ``LEAST_COMMON`` first common ones stand among the first
     m - c + ``LEAST_COMMON`` and n - c + ``LEAST_COMMON``. So do all sets of bands whose parts would be fewer than ``LEAST_PARTS`` (a low ``gamma``).
     What counts as frequent changes the cost, not the pairs. Pairs that meet are verified on the whole sets. Copies of a

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from readloom.llm.near_duplicates import KMERS, Bands, _by_bucket, _narrow, _packed, _pairs_in_parts, _wide, near_duplicates
+from readloom.llm.near_duplicates import KMERS, MEETINGS, Bands, _by_bucket, _narrow, _packed, _pairs_in_parts, _wide, near_duplicates
 
 
 def kmers(s, k=12):
@@ -179,6 +179,6 @@ def test_every_similar_pair_has_a_signature():
         for x in sets:
             least = int(bands.common(band, np.array([len(x)]))[0])
             assert 0 < least <= c
-            x = x[: len(x) - least + parts + 1]
+            x = x[: len(x) - least + parts + MEETINGS]
             found.append(set(_pairs_in_parts(np.zeros(len(x), np.int64), x, parts, band)[1].tolist()))
-        assert found[0] & found[1]
+        assert len(found[0] & found[1]) >= MEETINGS
