@@ -427,3 +427,40 @@ def members(df: DataFrame, key: str, text: Column, texts: DataFrame, reps: DataF
     named = materialize(texts.join(reps, "rep", "left_semi").select("rep", *content_key(F.col("seq"))), "members")
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), *content_key(text))
     return rows.join(broadcast_if_small(named, 80), ["h1", "h2"]).select("rep", "key").distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``(rep, root)`` of all ends of ``edges`` (a, b): ``root`` is the least end that edges lead to.
+
+    Each round takes the least root of all neighbours and then the root of that root, so paths halve; labels are written
+    down after each, and only a count comes to the driver.
+    """
+    both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = materialize(both.groupBy(F.col("a").alias("rep")).agg(F.min("b").alias("n")).select("rep", F.least("rep", "n").alias("root")), "labels")
+    while True:
+        near = both.join(labels, F.col("b") == F.col("rep")).groupBy("a").agg(F.min("root").alias("near"))
+        step = labels.join(near, F.col("rep") == F.col("a")).select("rep", "root", F.least("root", "near").alias("to"))
+        step = materialize(step, "labels")
+        jump = step.select(F.col("rep").alias("to"), F.col("to").alias("further"))
+        after = materialize(step.join(jump, "to").select("rep", F.col("further").alias("root"), (F.col("further") != F.col("root")).alias("moved")), "labels")
+        if not after.where("moved").limit(1).count():
+            return after.select("rep", "root")
+        labels = after.select("rep", "root")
+
+
+def similar_groups(df: DataFrame, key: str, text: Column, gamma: float = 0.5, least: int = 20, k: int = K, hot: int = HOT) -> DataFrame:
+    """``(key, group, links)``: one row for each key and text; ``group`` is the least key of the texts that similarity joins, directly or through others.
+
+    ``links`` is the number of other texts that are similar to the row's. Copies of one text are one group, and a text without
+    similar ones is a group by itself; pairs of copies are never listed. See ``near_duplicates`` for similarity and nulls;
+    texts of fewer than ``least`` k-mers are similar to none.
+    """
+    texts = classes(df.where(F.col(key).isNotNull()), text)
+    found = materialize(similar_classes(texts, gamma, least, k, hot).select("a", "b"), "similar")
+    links = found.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+    of = components(found).join(links, "rep")
+    named = texts.join(of, "rep", "left").select(F.coalesce("root", "rep").alias("root"), F.coalesce("links", F.lit(0)).alias("links"), *content_key(F.col("seq")))
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), text.alias("text")).where("text IS NOT NULL").select("key", *content_key(F.col("text"))).distinct()
+    placed = materialize(rows.join(named, ["h1", "h2"]).select("key", "root", "links"), "placed")
+    least_key = placed.groupBy("root").agg(F.min("key").alias("group"))
+    return placed.join(least_key, "root").select("key", "group", "links")

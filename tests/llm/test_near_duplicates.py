@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from readloom.llm.near_duplicates import KMERS, MEETINGS, Bands, _by_bucket, _narrow, _packed, _pairs_in_parts, _wide, near_duplicates
+from readloom.llm.near_duplicates import KMERS, MEETINGS, Bands, _by_bucket, _narrow, _packed, _pairs_in_parts, _wide, components, near_duplicates, similar_groups
 
 
 def kmers(s, k=12):
@@ -182,3 +182,31 @@ def test_every_similar_pair_has_a_signature():
             x = x[: len(x) - least + parts + MEETINGS]
             found.append(set(_pairs_in_parts(np.zeros(len(x), np.int64), x, parts, band)[1].tolist()))
         assert len(found[0] & found[1]) >= MEETINGS
+
+
+def test_groups(spark):
+    rows = data(9, 40)
+    rows += [(1000, None), (None, rows[0][1]), (1001, "ACGT"), (1002, "ACGT")]
+    pairs = brute(rows)
+    texts = {(k, s) for k, s in rows if k is not None and s is not None}
+    root = {x: x for x in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    links = {x: set() for x in texts}
+    for x in texts:
+        for y in texts:
+            if x[1] == y[1]:
+                root[find(x)] = find(y)
+            elif (min(x[0], y[0]), max(x[0], y[0])) in pairs and min(len(kmers(x[1])), len(kmers(y[1]))) >= 20 and 2 * len(kmers(x[1]) & kmers(y[1])) >= len(kmers(x[1]) | kmers(y[1])):
+                root[find(x)] = find(y)
+                links[x].add(y[1])
+    want = sorted((k, min(y[0] for y in texts if find(y) == find((k, s))), len(links[(k, s)])) for k, s in texts)
+    df = spark.createDataFrame(rows, "k long, s string")
+    assert sorted(tuple(r) for r in similar_groups(df, "k", F.col("s")).collect()) == want
+    assert similar_groups(df.limit(0), "k", F.col("s")).count() == 0
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
+    assert {tuple(r) for r in components(chain).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
