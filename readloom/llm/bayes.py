@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 16
+TRAIN_BYTES = 64 << 20  # most bytes of texts that a classifier is fitted on
 
 
 def ngrams(word: str, longest: int = 4) -> list[int]:
@@ -23,7 +24,7 @@ def word_bucket(word: str) -> list[int]:
 
 
 class Features:
-    """Sparse features of words; ``table`` remembers the words of a batch."""
+    """Sparse features of words, by a function that gives the buckets of one."""
 
     def __init__(self, of):
         self.of = of
@@ -53,12 +54,21 @@ def score(matrix: np.ndarray, bucket: np.ndarray, row: np.ndarray, rows: int) ->
     return np.stack([np.bincount(row, weights=m[bucket], minlength=rows) for m in matrix], axis=1) if rows else np.zeros((0, len(matrix)))
 
 
-def bounded_sample(df: DataFrame, hash_column: str, most: int) -> DataFrame:
-    """The ``most`` rows with the least hashes; tasks send little more than that in all."""
+def bounded_sample(df: DataFrame, hash_column: str, text: str, most: int, most_bytes: int = TRAIN_BYTES) -> DataFrame:
+    """The rows with the least hashes, at most ``most`` of them and of texts of ``most_bytes`` in all.
+
+    Hashes and sizes of so many rows come to the driver first, which finds where the sample ends; texts are read after that.
+    """
     n = df.count()
+    sizes = df.select(hash_column, F.octet_length(text))
+    rows = []
     if n > most:
         # hashes are spread evenly over the long integers: cut where about 1.2 x most rows lie, and some
         share = min(1.0, (1.2 * most + 1000) / n)
-        cut = df.where(F.col(hash_column) < F.lit(int(-(2**63) + share * (2**64 - 1))))
-        df = cut if cut.count() >= most else df
-    return df.orderBy(hash_column).limit(most)
+        rows = sizes.where(F.col(hash_column) < F.lit(int(-(2**63) + share * (2**64 - 1)))).orderBy(hash_column).limit(most).collect()
+    if len(rows) < min(n, most):
+        rows = sizes.orderBy(hash_column).limit(most).collect()
+    inside = int(np.searchsorted(np.cumsum([r[1] or 0 for r in rows]), most_bytes, "right"))
+    if not inside:
+        return df.limit(0)
+    return df.where(F.col(hash_column) <= F.lit(rows[inside - 1][0])).orderBy(hash_column).limit(inside)

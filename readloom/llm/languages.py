@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 
 from readloom.llm.bayes import BUCKETS, Features, bounded_sample, fit, ngrams, score
 
-LANGUAGES = ("en", "de", "fr", "es", "pt", "nl", "pl", "ru")
-#: Spellings of each language besides its code: three letters, English name, own name.
+#: The languages, and spellings of each besides its code: three letters, English name, own name.
 SPELLINGS = {
     "en": ("eng", "english"),
     "de": ("deu", "ger", "german", "deutsch"),
@@ -41,12 +40,12 @@ _CODE_WORD = re.compile(r"(?<!\S)[^\s\d_]*+[\d_]\S*+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 
 
-def label_language(label: Column) -> Column:
-    """The code that a label names in any spelling; null if it names none of ``LANGUAGES``."""
+def label_language(label: Column, spellings: dict[str, tuple[str, ...]] = SPELLINGS) -> Column:
+    """The code that a label names in any of its ``spellings``; null if it names none of these languages."""
     plain = F.lower(F.trim(label))
     stem = F.regexp_replace(plain, "[-_].*$", "")
     out = F.lit(None).cast("string")
-    for code, names in SPELLINGS.items():
+    for code, names in spellings.items():
         out = F.when(stem.isin(code, *names), F.lit(code)).otherwise(out)
     return out
 
@@ -125,16 +124,17 @@ def _count(word: np.ndarray, label: np.ndarray, weight: np.ndarray, bucket: np.n
     return out
 
 
-def fit_languages(df: DataFrame, key: str, text: str, label: str, most: int = TRAIN_DOCS, rounds: int = ROUNDS) -> np.ndarray | None:
+def fit_languages(df: DataFrame, key: str, text: str, label: str, most: int = TRAIN_DOCS, rounds: int = ROUNDS, spellings: dict[str, tuple[str, ...]] = SPELLINGS) -> np.ndarray | None:
     """Log probabilities (languages x buckets) fitted on labelled documents; None if there are none.
 
-    At most ``most`` labelled documents take part, those with the least hashes of their keys.
+    The languages are those of ``spellings``. At most ``most`` labelled documents, of ``bayes.TRAIN_BYTES`` in all, take part, those with the least hashes.
     Their labels are partly wrong and texts mix languages, so after a first fit on the labels
     the words are trained as the language that the path through their text gives them.
     """
-    code = label_language(F.col(label))
-    rows = df.where(F.col(text).isNotNull()).select(F.xxhash64(key).alias("h"), F.col(text).alias("text"), code.alias("code")).where("code IS NOT NULL")
-    sample = bounded_sample(rows, "h", most).select("text", "code").collect()
+    names = tuple(spellings)
+    code = label_language(F.col(label), spellings)
+    rows = df.where(F.col(text).isNotNull()).select(F.xxhash64(key, text).alias("h"), F.col(text).alias("text"), code.alias("code")).where("code IS NOT NULL")
+    sample = bounded_sample(rows, "h", "text", most).select("text", "code").collect()
     if not sample:
         return None
     lists = [prose_words(r[0]) for r in sample]
@@ -142,21 +142,21 @@ def fit_languages(df: DataFrame, key: str, text: str, label: str, most: int = TR
     seen: dict[str, int] = {}
     word = np.fromiter((seen.setdefault(w, len(seen)) for x in lists for w in x), np.int64)
     bucket, row = Features(ngrams).sparse(list(seen))
-    label_of = np.repeat(np.array([LANGUAGES.index(r[1]) for r in sample]), lengths)
+    label_of = np.repeat(np.array([names.index(r[1]) for r in sample]), lengths)
     # no text counts for more than so many words, or one long text under a wrong label would spoil its language
     weight = np.repeat(np.minimum(1.0, TRAIN_WORDS / np.maximum(lengths, 1)), lengths)
-    matrix = fit(_count(word, label_of, weight, bucket, row, len(seen), len(LANGUAGES)))
+    matrix = fit(_count(word, label_of, weight, bucket, row, len(seen), len(names)))
     for _ in range(rounds - 1):
         vector = score(matrix, bucket, row, len(seen)) * WEIGHT
         path = best_path(vector[word], lengths, SWITCH)
-        matrix = fit(_count(word, path, weight, bucket, row, len(seen), len(LANGUAGES)))
+        matrix = fit(_count(word, path, weight, bucket, row, len(seen), len(names)))
     return matrix
 
 
 _SEGMENTS = "key {}, segment int, lang string, words int, confidence double"
 
 
-def _segments(held, switch: float, with_prose: bool):
+def _segments(held, switch: float, with_prose: bool, names: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix = held.value
         for whole in batches:
@@ -182,7 +182,7 @@ def _segments(held, switch: float, with_prose: bool):
                 out = {
                     "key": batch.column("key").take(pa.array(of)),
                     "segment": pa.array(number.astype(np.int32)),
-                    "lang": pa.array([LANGUAGES[i] for i in lang]),
+                    "lang": pa.array([names[i] for i in lang]),
                     "words": pa.array(n.astype(np.int32)),
                     "confidence": pa.array(sure),
                 }
@@ -202,25 +202,25 @@ def _by_size(batch: pa.RecordBatch, most: int = 2_000_000) -> Iterator[pa.Record
         yield batch.slice(a, b - a)
 
 
-def language_segments(df: DataFrame, key: str, text: str, label: str, matrix: np.ndarray | None = None, switch: float = SWITCH, most: int = TRAIN_DOCS, with_prose: bool = False) -> DataFrame:
+def language_segments(df: DataFrame, key: str, text: str, label: str, matrix: np.ndarray | None = None, switch: float = SWITCH, most: int = TRAIN_DOCS, with_prose: bool = False, spellings: dict[str, tuple[str, ...]] = SPELLINGS) -> DataFrame:
     """``(key, segment, lang, words, confidence[, prose])``: the stretches of one language in every text.
 
     Multinomial naive Bayes over hashed character n-grams scores every word of prose; the
     likeliest path through the text, on which a change of language costs ``switch``, gives
-    the stretches. ``confidence`` is the posterior of the stretch's language. The matrix of log
+    the stretches. ``confidence`` is the posterior of the stretch's language. The languages are those of ``spellings``, at most 127. The matrix of log
     probabilities (8 x 65,536 floats, 2 MB at any size of the corpus) is broadcast; scoring is
     one narrow pass. Null, empty and wordless texts have no rows; without any labelled
     document there is nothing to fit and no rows come out; rows are taken one by one, so
     repeated keys give repeated rows. Other columns are not read.
     """
     if matrix is None:
-        matrix = fit_languages(df, key, text, label, most)
+        matrix = fit_languages(df, key, text, label, most, spellings=spellings)
     rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
     if matrix is None:
-        rows, matrix = rows.limit(0), np.zeros((len(LANGUAGES), BUCKETS), np.float32)
+        rows, matrix = rows.limit(0), np.zeros((len(spellings), BUCKETS), np.float32)
     held = df.sparkSession.sparkContext.broadcast(matrix)
     schema = _SEGMENTS.format(df.schema[key].dataType.simpleString()) + ", prose string" * with_prose
-    return rows.mapInArrow(_segments(held, switch, with_prose), schema)
+    return rows.mapInArrow(_segments(held, switch, with_prose, tuple(spellings)), schema)
 
 
 def document_languages(segments: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from readloom.llm.bayes import bounded_sample
 from readloom.llm.languages import best_path, document_languages, fit_languages, label_language, language_segments, prose_words
 
 SENTENCES = {
@@ -95,3 +96,29 @@ def test_words_after_a_quoted_signature_stay():
     assert prose_words("> hello\n> -- \n> sent by me\n> > deeper\nown reply\n-- \ngone\nfor good") == ["hello", "own", "reply"]
     assert prose_words("> > one\n> > -- \n> > gone\n> two\n> -- \n> gone") == ["one", "two"]
     assert prose_words("one\n--\ntwo") == ["one", "two"]
+
+
+def test_other_languages(spark):
+    """Languages are a parameter; labels of others name none."""
+    rows, _ = corpus(3, 120)
+    df = spark.createDataFrame(rows, DOCS)
+    some = {"ru": ("rus",), "de": ("deutsch",)}
+    got = language_segments(df, "k", "t", "l", spellings=some).select("lang").distinct().collect()
+    assert {r[0] for r in got} == {"ru", "de"}
+    named = spark.createDataFrame([("Deutsch",), ("en",), ("RUS",)], "l string").select(label_language(F.col("l"), some)).collect()
+    assert [r[0] for r in named] == ["de", None, "ru"]
+
+
+def test_bounded_sample(spark):
+    rows = [(i, "x" * (i % 7)) for i in range(5000)] + [(7, None)]
+    df = spark.createDataFrame(rows, "k long, t string").select(F.xxhash64("k", "t").alias("h"), "t")
+    order = sorted(df.collect(), key=lambda r: r["h"])
+    for most, size in ((10_000, 1 << 20), (100, 1 << 20), (100, 50), (100, 0)):
+        want, total = [], 0
+        for r in order[:most]:
+            total += len(r["t"] or "")
+            if total > size:
+                break
+            want.append(tuple(r))
+        got = [tuple(r) for r in bounded_sample(df, "h", "t", most, size).collect()]
+        assert got == want or size == 0 and not any(t for _, t in got)
