@@ -18,7 +18,7 @@ from readloom.operators.stats import log_lines, paired_stats, single_stats, stat
 from readloom.operators.steps import parse_steps
 from readloom.plans.chain import trim_paired, trim_single
 from readloom.schema import single
-from readloom.session import materialize
+from readloom.session import materialize, scratch
 from readloom.sources.fastq import read_fastq, read_fastq_pair, write_fastq, write_trim_log
 from readloom.sources.templates import mate_path, output_paths
 
@@ -97,13 +97,16 @@ def _report(o: Options, row: dict) -> str:
 
 
 def run(spark: SparkSession, args: list[str]) -> dict:
-    """Run ``SE`` or ``PE``; returns the row of counts. The trimmed frame is written once and read by every output."""
+    """Run ``SE``, ``PE`` or ``REPAIR``; returns the row of counts. What was written down on the way is removed."""
     if "-version" in args:
         print(__version__)
         return {"version": __version__}
-    if args and args[0] == "REPAIR":
-        return repair(spark, args[1:])
-    o = parse(args)
+    with scratch():
+        return repair(spark, args[1:]) if args and args[0] == "REPAIR" else trim_files(spark, parse(args))
+
+
+def trim_files(spark: SparkSession, o: Options) -> dict:
+    """The trimmed frame is written once and read by every output."""
     steps = parse_steps(o.steps)
     if o.mode == "SE":
         done = materialize(trim_single(single(read_fastq(spark, o.inputs[0], o.phred)), steps), "trimmed")

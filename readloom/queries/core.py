@@ -16,7 +16,7 @@ from readloom.operators.barcodes import split_barcodes
 from readloom.operators.clip import Adapters, make_clip, sort_adapters
 from readloom.operators.malformed import parse_records
 from readloom.operators.pairs import RepairError, paired_by_name, repair_by_name, routed, validate_pairs
-from readloom.operators.stats import paired_stats, single_stats, trim_log
+from readloom.operators.stats import PAIRED_LABELS, log_lines, paired_stats, single_stats, stats_line, trim_log
 from readloom.plans.chain import trim_paired, trim_single
 from readloom.schema import paired, read_struct, single
 from readloom.session import broadcast_if_small, scratch_dir, spread, table
@@ -214,16 +214,28 @@ def fastq_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_fastq(spark, at, 33).select("r1.name", "r1.sequence", "r1.comment", "r1.quality")
 
 
-def _stream_stats(spark: SparkSession, sf_dir: str, whole: bool) -> DataFrame:
-    """The chain over a stream of the table's files with running counts; the last counts come out."""
+def _blocks(spark: SparkSession, sf_dir: str, suffix: str, split_bytes: int) -> DataFrame:
+    """Reads written as one file in order and read back in blocks, with their numbers."""
+    at = f"{scratch_dir(spark)}/fastq-{uuid.uuid4().hex}.fq{suffix}"
+    write_fastq(_reads(spark, sf_dir).select("ordinal", F.col("r1").alias("read")), at, single_file=True)
+    return read_fastq(spark, at, 33, split_bytes=split_bytes).select("ordinal", "r1.name", "r1.sequence", "r1.comment", "r1.quality")
+
+
+def fastq_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _blocks(spark, sf_dir, "", 100_000)
+
+
+def fastq_bzip2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _blocks(spark, sf_dir, ".bz2", 300_000)
+
+
+def stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain over a stream of the table's files with running counts; the last counts come out. Where the offset is null, that of the run."""
     path = f"{sf_dir}/fastq_reads.parquet"
     # a pattern, as the table is a file here and a folder there
     rows = read_stream(spark, f"{sf_dir}/fastq_reads.parque[t]", spark.read.parquet(path).schema).where("sequence IS NOT NULL AND quality IS NOT NULL")
-    if whole:
-        runs = table(spark, sf_dir, "runs").select(F.col("run_id").alias("of"), F.col("phred_offset").alias("run_offset"))
-        rows = rows.join(broadcast_if_small(runs, 80), F.col("run_id") == F.col("of"), "left").withColumn("phred_offset", F.coalesce("phred_offset", "run_offset"))
-    else:
-        rows = rows.where("phred_offset IS NOT NULL")
+    runs = table(spark, sf_dir, "runs").select(F.col("run_id").alias("of"), F.col("phred_offset").alias("run_offset"))
+    rows = rows.join(broadcast_if_small(runs, 80), F.col("run_id") == F.col("of"), "left").withColumn("phred_offset", F.coalesce("phred_offset", "run_offset"))
     read = read_struct(F.col("name"), F.col("sequence"), F.col("comment"), F.col("quality"), F.col("phred_offset"), F.col("barcode_label"), F.col("head_pos"))
     counts = running_stats(trim_stream(single(rows.select("ordinal", read.alias("r1"))), CHAIN))
     last: list = []
@@ -231,14 +243,15 @@ def _stream_stats(spark: SparkSession, sf_dir: str, whole: bool) -> DataFrame:
     return spark.createDataFrame(last[-1] if last else [], "input long, surviving long, dropped long")
 
 
-def stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As its SQL says, without the rows that have no offset of their own; ``stream_stats_whole`` counts these too."""
-    return _stream_stats(spark, sf_dir, False)
+def stats_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line of counts of a paired run."""
+    row = stats_pe(spark, sf_dir).first().asDict()
+    return spark.createDataFrame([(stats_line(row),)], "line string")
 
 
-def stream_stats_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The counts of the whole table; where the offset is null, that of the run."""
-    return _stream_stats(spark, sf_dir, True)
+def log_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the log of a run, as written to a file."""
+    return log_lines(log_se(spark, sf_dir)).select("ordinal", "mate", F.col("value").alias("line"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,7 +288,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         f.__name__: f
         for f in (
             slot_crops, clip_simple, clip_palindrome, clip_keep_both, barcode_split, barcode_mismatch, pair_zip, pair_route, pair_validate, name_canonical, repair_names, repair_split, repair_check,
-            stats_se, stats_pe, log_se, log_totals, phred_detect, revcomp, normal, quality_sums, chain_pe, chain_clip_pe, fastq_round_trip, stream_stats, stream_stats_whole, p3_found, p3_loaded, p3_edits,
+            stats_se, stats_pe, log_se, log_totals, phred_detect, revcomp, normal, quality_sums, chain_pe, chain_clip_pe, fastq_round_trip, fastq_blocks, fastq_bzip2, stream_stats, stats_text, log_text, p3_found, p3_loaded, p3_edits,
         )
     },
 }
@@ -461,6 +474,12 @@ _RECORDS = rf"""
          WHEN length(v[2]) <> length(v[4]) THEN 'length'
          WHEN len(list_filter(string_split(v[4], ''), lambda c: ascii(c) - phred_offset NOT BETWEEN 0 AND 41)) > 0 THEN 'quality' END AS reason FROM f)"""
 
+_LOG = f"""WITH {_START}, base AS (SELECT row_number() OVER () AS i, * FROM reads), numbered AS (SELECT i AS ordinal, name, s, q, o, h FROM base), {_log_sql}
+      SELECT b.ordinal, 1 AS mate, b.name AS read_name, CAST(coalesce(length(x.s), 0) AS INTEGER) AS length, CAST(coalesce(x.h, 0) AS INTEGER) AS start_pos, CAST(coalesce(x.h + length(x.s), 0) AS INTEGER) AS end_pos,
+        CAST(coalesce(length(b.s) - x.h - length(x.s), 0) AS INTEGER) AS trim_tail FROM base b LEFT JOIN {_log_last} x ON x.ordinal = b.i"""
+#: Records are numbered in order of their ordinals; rows of one ordinal are alike.
+_NUMBERED = f"WITH {_START} SELECT row_number() OVER (ORDER BY f.ordinal) - 1 AS ordinal, f.name, f.sequence, coalesce(f.comment, '') AS comment, f.quality FROM fastq_reads f WHERE sequence IS NOT NULL AND quality IS NOT NULL"
+
 SQL: dict[str, str] = {
     "leading": _sql_kept("LEADING:20"),
     "trailing": _sql_kept("TRAILING:20"),
@@ -483,11 +502,12 @@ SQL: dict[str, str] = {
     "stats_pe": _sql_pairs(_SIDES, _SIDES, "SELECT count(*) AS input, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS both, count(*) FILTER (a IS NOT NULL AND b IS NULL) AS forward_only, count(*) FILTER (a IS NULL AND b IS NOT NULL) AS reverse_only, count(*) FILTER (a IS NULL AND b IS NULL) AS dropped FROM done"),
     "chain_pe": _sql_pairs(CHAIN, CHAIN, "SELECT ordinal, CAST(coalesce(length(a), -1) AS INTEGER) AS length1, CAST(coalesce(length(b), -1) AS INTEGER) AS length2 FROM done"),
     "stats_se": f"WITH {_START}, {_chain_sql} SELECT n AS input, k AS surviving, n - k AS dropped FROM (SELECT count(*) AS n FROM reads), (SELECT count(*) AS k FROM {_chain_last})",
-    "stream_stats_whole": f"WITH {_START}, {_chain_sql} SELECT n AS input, k AS surviving, n - k AS dropped FROM (SELECT count(*) AS n FROM reads), (SELECT count(*) AS k FROM {_chain_last})",
-    "stream_stats": f"WITH all_reads AS (SELECT * FROM fastq_reads), {_START.replace('coalesce(f.phred_offset, r.phred_offset)', 'f.phred_offset').replace('WHERE', 'WHERE f.phred_offset IS NOT NULL AND')}, {_chain_sql} SELECT n AS input, k AS surviving, n - k AS dropped FROM (SELECT count(*) AS n FROM reads), (SELECT count(*) AS k FROM {_chain_last})",
-    "log_se": f"""WITH {_START}, base AS (SELECT row_number() OVER () AS i, * FROM reads), numbered AS (SELECT i AS ordinal, name, s, q, o, h FROM base), {_log_sql}
-      SELECT b.ordinal, 1 AS mate, b.name AS read_name, CAST(coalesce(length(x.s), 0) AS INTEGER) AS length, CAST(coalesce(x.h, 0) AS INTEGER) AS start_pos, CAST(coalesce(x.h + length(x.s), 0) AS INTEGER) AS end_pos,
-        CAST(coalesce(length(b.s) - x.h - length(x.s), 0) AS INTEGER) AS trim_tail FROM base b LEFT JOIN {_log_last} x ON x.ordinal = b.i""",
+    "stream_stats": f"WITH {_START}, {_chain_sql} SELECT n AS input, k AS surviving, n - k AS dropped FROM (SELECT count(*) AS n FROM reads), (SELECT count(*) AS k FROM {_chain_last})",
+    "fastq_blocks": _NUMBERED,
+    "fastq_bzip2": _NUMBERED,
+    "log_se": _LOG,
+    "log_text": f"SELECT ordinal, mate, concat_ws(' ', read_name, length, start_pos, end_pos, trim_tail) AS line FROM ({_LOG})",
+    "stats_text": f"SELECT 'Input Read Pairs: ' || x.input {' '.join(f"|| ' {label}: ' || x.{c} || format(' ({{:.2f}}%)', 100.0 * x.{c} / x.input)" for c, label in PAIRED_LABELS.items())} AS line FROM ({_sql_pairs(_SIDES, _SIDES, _PAIR_COUNTS)}) AS x",
     "log_totals": """SELECT mate, count(*) AS reads, count(*) FILTER (length = 0) AS dropped, CAST(sum(length) AS BIGINT) AS bases, CAST(sum(start_pos) AS BIGINT) AS head, CAST(sum(trim_tail) AS BIGINT) AS tail
       FROM (SELECT ordinal, mate, max(length) AS length, max(trim_tail) AS trim_tail, max(start_pos) AS start_pos FROM trim_log GROUP BY ALL) GROUP BY mate""",
     "clip_simple": _sql_clip_single(),

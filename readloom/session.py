@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,11 +51,23 @@ def _sweep() -> None:
 atexit.register(_sweep)
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Remove at the end what was written down within: results that read it must have been used by then."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        for spark, path in _written[before:]:
+            _drop(spark, path)
+        del _written[before:]
+
+
 def materialize(df: DataFrame, what: str = "step") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared scratch folder and read it back.
 
     Cuts the lineage so that a lost executor costs one stage, not the whole plan,
-    and gives the optimizer true sizes. The table is removed when the process ends.
+    and gives the optimizer true sizes. The table is removed when the process ends, or the ``scratch`` block around it.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/readloom-{what}-{uuid.uuid4().hex}"

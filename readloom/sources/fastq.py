@@ -9,6 +9,7 @@ from urllib.parse import unquote
 import numpy as np
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -366,7 +367,7 @@ def _join_parts(spark: SparkSession, parts: str, path: str) -> None:
             try:
                 fs.concat(target, paths)
                 names = []
-            except Py4JJavaError:
+            except (Py4JJavaError, PySparkException):
                 out = fs.create(target, True)
         for name in names:
             part = fs.open(jvm.org.apache.hadoop.fs.Path(name))
