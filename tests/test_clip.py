@@ -222,7 +222,8 @@ def test_queries_pair_all_adapters(spark, monkeypatch):
 
     seen = []
     adapters = core.Adapters((), tuple(f"ACGTACGT{'A' * i}" for i in range(9)), tuple(f"TTGGCCAA{'C' * i}" for i in range(6)), ())
-    monkeypatch.setattr(core, "_adapters", lambda *_: adapters)
+    rows = [(f"N{i}/{end}", x) for end, side in ((1, adapters.forward), (2, adapters.reverse)) for i, x in enumerate(side)]
+    monkeypatch.setattr(core, "_adapter_rows", lambda *_: rows)
     monkeypatch.setattr(core, "make_clip", lambda a, args: seen.append(a))
     monkeypatch.setattr(core, "_pairs", lambda *_: None)
     monkeypatch.setattr(core, "trim_paired", lambda *_: None)
