@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import deque
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -256,32 +257,31 @@ _OUT_SQL = "struct<reason: string, cost: int, edits: array<string>, read: struct
 
 def _parse(done: pa.Array, payload: pa.Array, layout: pa.Array, offset: pa.Array) -> pa.Array:
     """What ``parse_record`` says of the records that are not done."""
+    done = done.to_numpy(zero_copy_only=False).astype(bool)
+    todo = pa.array(np.flatnonzero(~done))
     out = []
-    for ready, *record in zip(*(c.to_pylist() for c in (done, payload, layout, offset))):
-        if ready:
-            out.append(None)
-            continue
+    for record in zip(*(c.take(todo).to_pylist() for c in (payload, layout, offset))):
         reason, cost, edits, fields = parse_record(*record)
         out.append({"reason": reason, "cost": cost, "edits": edits, "read": None if reason else dict(zip(("name", "sequence", "comment", "quality"), fields))})
-    return pa.array(out, _OUT)
+    return pa.array(out, _OUT).take(pa.array(np.cumsum(~done) - 1, mask=done))
 
 
-def _plain_read(payload: Column, layout: Column, offset: Column) -> Column:
-    """The read of a record that parses at no cost without a quote to look at and has valid values; null for all others."""
-    lines, fields = F.split(payload, r"\r?\n", -1), F.split(payload, ",", -1)
-    four = (F.size(lines) == FIELDS) | ((F.size(lines) == FIELDS + 1) & (F.get(lines, F.lit(FIELDS)) == ""))
-    line, field = ([F.get(x, F.lit(i)) for i in range(FIELDS)] for x in (lines, fields))
+def _plain_parts(payload: Column, layout: Column) -> Column:
+    """The lines of a fastq record, or the fields of a csv record that has no quote and no line end; null otherwise."""
+    return F.when(layout == "fastq", F.split(payload, r"\r?\n", -1)).when((layout == "csv") & ~payload.rlike("[\"\r\n]"), F.split(payload, ",", -1))
 
-    def made(name: Column, sequence: Column, comment: Column, quality: Column) -> Column:
-        # fixed values: qualities 0..41 as characters from 33 or 64 on
-        valid = F.when(offset == 33, quality.rlike(r"\A[!-J]*+\z")).when(offset == 64, quality.rlike(r"\A[@-i]*+\z")).otherwise(False)
-        valid = valid & sequence.rlike(r"\A[ACGTNacgtn]++\z") & (F.length(sequence) == F.length(quality))
-        return F.when(valid, F.struct(name.alias("name"), sequence.alias("sequence"), comment.alias("comment"), quality.alias("quality")))
 
-    rest = lambda x: F.substring(x, 2, 2**31 - 1)
-    fastq = F.when(four & line[0].startswith("@") & (F.length(line[0]) > 1) & line[2].startswith("+"), made(rest(line[0]), line[1], rest(line[2]), line[3]))
-    csv = F.when((F.size(fields) == FIELDS) & ~payload.rlike("[\"\r\n]") & (field[0] != ""), made(*field))
-    return F.when(layout == "fastq", fastq).when(layout == "csv", csv)
+def _plain_read(parts: Column, layout: Column, offset: Column) -> Column:
+    """The read of a record whose parts are right at no cost and have valid values; null for all others."""
+    fastq = layout == "fastq"
+    name, sequence, comment, quality, more = (F.get(parts, F.lit(i)) for i in range(FIELDS + 1))
+    lines = ((F.size(parts) == FIELDS) | ((F.size(parts) == FIELDS + 1) & (more == ""))) & name.startswith("@") & (F.length(name) > 1) & comment.startswith("+")
+    shape = F.when(fastq, lines).otherwise((F.size(parts) == FIELDS) & (name != ""))
+    # fixed values: qualities 0..41 as characters from 33 or 64 on
+    scale = F.when(offset == 33, quality.rlike(r"\A[!-J]*+\z")).when(offset == 64, quality.rlike(r"\A[@-i]*+\z")).otherwise(False)
+    valid = shape & (F.length(sequence) == F.length(quality)) & sequence.rlike(r"\A[ACGTNacgtn]++\z") & scale
+    bare = lambda x: F.when(fastq, F.substring(x, 2, 2**31 - 1)).otherwise(x)
+    return F.when(valid, F.struct(bare(name).alias("name"), sequence.alias("sequence"), bare(comment).alias("comment"), quality.alias("quality")))
 
 
 def parse_records(df: DataFrame, key: str, payload: str = "payload", layout: str = "layout", offset: str = "phred_offset") -> DataFrame:
@@ -301,7 +301,9 @@ def parse_records(df: DataFrame, key: str, payload: str = "payload", layout: str
     if key in ("reason", "cost", "edits", "read"):
         raise ValueError(f"the key cannot be named {key}")
     rows = df.select(F.col(key).alias("_key"), F.col(payload).cast("string").alias("_payload"), F.col(layout).cast("string").alias("_layout"), F.col(offset).cast("int").alias("_offset"))
-    rows = rows.withColumn("_plain", _plain_read(F.col("_payload"), F.col("_layout"), F.col("_offset")))
+    # one column after the other, each of which is worked out once
+    rows = rows.withColumn("_parts", _plain_parts(F.col("_payload"), F.col("_layout")))
+    rows = rows.withColumn("_plain", _plain_read(F.col("_parts"), F.col("_layout"), F.col("_offset")))
     done = F.col("_plain").isNotNull()
     # not pushed below filters on its result, which would parse once for the filter and once for the reads
     program = F.arrow_udf(_parse, _OUT_SQL).asNondeterministic()

@@ -5,7 +5,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from readloom.operators.malformed import _plain_read, least_edits, least_line_edits, parse_free, parse_record, parse_records
+from readloom.operators.malformed import _plain_parts, _plain_read, least_edits, least_line_edits, parse_free, parse_record, parse_records
 
 
 def brute(text, fields):
@@ -87,7 +87,7 @@ def test_plain_reads_are_those_of_the_program(spark):
         text = ",".join(rnd.choice(['"{}"', "{}", "{}", "{}"]).format(x) for x in parts) if csv else rnd.choice(["\n", "\r\n"]).join([rnd.choice(["@", "@", ""]) + parts[0], parts[1], rnd.choice(["+", "+", "-"]) + parts[2], parts[3]])
         data.append((i, "csv" if csv else "fastq", rnd.choice([33, 64, 50, None]), text + rnd.choice(["", "", "\n", ",", "\r\n\n"])))
     df = spark.createDataFrame(data, "id long, layout string, phred_offset int, payload string")
-    plain = {r[0]: r[1] for r in df.select("id", _plain_read(F.col("payload"), F.col("layout"), F.col("phred_offset"))).collect()}
+    plain = {r[0]: r[1] for r in df.select("id", _plain_read(_plain_parts(F.col("payload"), F.col("layout")), F.col("layout"), F.col("phred_offset"))).collect()}
     whole = {r["id"]: r for r in parse_records(df, "id").collect()}
     loaded = 0
     for i, layout, offset, text in data:
